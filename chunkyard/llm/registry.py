@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format
+from . import chat_format, decontaminate, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_line_dedup": line_dedup.op4_line_dedup,
+        "op5_decontaminate": decontaminate.op5_decontaminate,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_line_dedup": line_dedup.OP4_SQL,
+        "op5_decontaminate": decontaminate.OP5_SQL,
         "op9_chat_format": chat_format.OP9_SQL,
     }
