@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, line_dedup
+from . import bpe, chat_format, decontaminate, line_dedup, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
+        "op6_bpe": bpe.op6_bpe,
+        "op8_quality": quality.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
     }
 
