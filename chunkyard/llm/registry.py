@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, line_dedup, quality
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, quality, shard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_language_id": language_id.op2_language_id,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_bpe": bpe.op6_bpe,
+        "op7_shard": shard.op7_shard,
         "op8_quality": quality.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
     }
