@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
@@ -73,6 +74,7 @@ class Codec:
         for token, i in special.items():
             self.token_bytes[i] = token.encode()
         self.inside = [row.tobytes() for row in inside]
+        self.decimals = [b"%d" % i for i in range(len(self.token_bytes))]
         self.memory = _Memory(self)
 
     def fragments(self, word: bytes) -> list[bytes]:
@@ -139,58 +141,52 @@ def spec_of(spark: SparkSession, path: str | None = None) -> Broadcast:
     return spark.sparkContext.broadcast(Path(path or default_path()).read_text())
 
 
+def coded(rows: DataFrame, f: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], schema: str, path: str | None = None) -> DataFrame:
+    """f over batches of rows, with the codec of the tokenizer's file."""
+    spec = spec_of(rows.sparkSession, path)
+    return map_batches(rows, lambda batch: f(_codec(spec.value), batch), schema)
+
+
+def _id_type(df: DataFrame) -> str:
+    return df.schema["doc_id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids (array<int>) of every row's whole text; other columns are ignored.
 
     Null and empty texts have no ids; repeated rows stay. Text that spells a
     special token gets that token's id, as the library does by default.
     """
-    spec = spec_of(docs.sparkSession, path)
 
-    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(spec.value)
+    def over(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.array(codec.encode(t.decode("utf-8", "replace")), np.int32) for t in raw(batch.column("text"))]
         offsets = np.zeros(len(found) + 1, np.int32)
         np.cumsum([len(f) for f in found], out=offsets[1:])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))], names=["doc_id", "ids"])
 
-    given = lean(docs, doc_id="doc_id", text="text")
-    return map_batches(given, over, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return coded(lean(docs, doc_id="doc_id", text="text"), over, f"doc_id {_id_type(docs)}, ids array<int>", path)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids and decoded (text, special tokens included) of every row; null ids are empty."""
-    spec = spec_of(encoded.sparkSession, path)
 
-    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec = _codec(spec.value)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("ids"), pa.array([codec.decode(i.tolist() if i is not None else []) for i in batch.column("ids").to_numpy(zero_copy_only=False)], pa.string())], names=["doc_id", "ids", "decoded"]
-        )
+    def over(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [codec.decode(i.tolist() if i is not None else []) for i in batch.column("ids").to_numpy(zero_copy_only=False)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    given = lean(encoded, doc_id="doc_id", ids="ids")
-    return map_batches(given, over, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return coded(lean(encoded, doc_id="doc_id", ids="ids"), over, f"doc_id {_id_type(encoded)}, ids array<int>, decoded string", path)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents")))
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names = _decimals()
-        ids = [i.tolist() for i in batch.column("ids").to_numpy(zero_copy_only=False)]
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([len(i) for i in ids], pa.int64()),
-                pa.array([hashlib.sha256(b",".join(map(names.__getitem__, i))).hexdigest() for i in ids]),
-                pa.array([hashlib.sha256(t).hexdigest() for t in raw(batch.column("decoded"))]),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
-
-    return map_batches(coded, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-@lru_cache(1)
-def _decimals() -> list[bytes]:
-    return [b"%d" % i for i in range(1 << 18)]
+    """Digests of each row's ids and of what they decode to; ids stay in the worker that made them."""
+
+    def over(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text in raw(batch.column("text")):
+            ids = codec.encode(text.decode("utf-8", "replace"))
+            rows.append((len(ids), hashlib.sha256(b",".join(map(codec.decimals.__getitem__, ids))).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
+        n, ids, decoded = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = lean(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return coded(docs, over, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
