@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, quality, shard
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, near_dedup, quality, shard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op7_shard": shard.op7_shard,
         "op8_quality": quality.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
