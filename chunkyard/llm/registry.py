@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, near_dedup, quality, shard
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, shard
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_score": lm_score.op1_lm_score,
         "op2_language_id": language_id.op2_language_id,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
