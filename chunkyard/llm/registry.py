@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, shard
+from . import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, shard, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_lm_score": lm_score.op1_lm_score,
         "op2_language_id": language_id.op2_language_id,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_bpe": bpe.op6_bpe,
