@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import bpe, chat_format, decontaminate, language_id, line_dedup, lm_score, near_dedup, quality, shard, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": quality.op8_quality,
         "op9_chat_format": chat_format.op9_chat_format,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
