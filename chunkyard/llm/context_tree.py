@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import zstandard
 
 DEPTH = 6
 #: A context of each depth has at least this part of the training bytes; so at most so many contexts per depth.
@@ -96,24 +97,42 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Level:
     contexts: np.ndarray  # sorted
     parent: np.ndarray  # row in the level above
-    counts: np.ndarray  # [contexts, 256]
-    stop: np.ndarray | None = None  # weight of the own estimate at each binary node
+    place: np.ndarray  # of each count in [contexts, 256], flat
+    counts: np.ndarray
+    stop: np.ndarray | None = None  # [contexts, 255]: weight of the own estimate at each binary node
     one: np.ndarray | None = None  # the own estimate of a one
 
+    def dense(self) -> np.ndarray:
+        out = np.zeros(len(self.contexts) * 256)
+        out[self.place] = self.counts
+        return out.reshape(-1, 256)
 
-def _dense(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    contexts, row = np.unique(keys >> np.uint64(8), return_inverse=True)
-    out = np.zeros((len(contexts), 256), np.float64)
-    out[row, (keys & np.uint64(255)).astype(np.int64)] = counts
-    return contexts, out
+
+def _common(level: Level, longer: Level) -> np.ndarray:
+    """Counts of a level's contexts without those of their longer contexts."""
+    out = level.dense()
+    np.subtract.at(out.ravel(), longer.parent[longer.place >> 8] << 8 | longer.place & 255, longer.counts)
+    return out
 
 
-@dataclass(frozen=True)
 class Tree:
-    """child[node, byte]: the node after one more byte back, or a leaf as -1 - leaf; table[leaf, byte]: log10 probability."""
+    """child[node, byte]: the node after one more byte back, or a leaf as -1 - leaf; table[leaf, byte]: log10 probability.
+
+    It travels compressed and is unpacked when first used.
+    """
+
+    def __init__(self, child: np.ndarray, table: np.ndarray) -> None:
+        self.child, self.table = child, table
+
+    def __getstate__(self) -> tuple:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return pack(self.child.view(np.uint8).reshape(-1, 4).T.tobytes()), pack(self.table.view(np.uint8).reshape(-1, 2).T.tobytes())
 
-    child: np.ndarray
-    table: np.ndarray
+    def __setstate__(self, state: tuple) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
+        child, table = (np.frombuffer(unpack(s), np.uint8) for s in state)
+        self.child = np.ascontiguousarray(child.reshape(4, -1).T).view(np.int32).reshape(-1, 256)
+        self.table = np.ascontiguousarray(table.reshape(2, -1).T).view(np.float16).reshape(-1, 256)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 of each text's probability, its end included."""
@@ -141,53 +160,38 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
     for depth, (keys, counts) in enumerate(levels):
         if depth == 0 and not len(keys):
             keys, counts = np.zeros(1, np.uint64), np.zeros(1, np.int64)
-        contexts, dense = _dense(keys, counts)
+        contexts, row = np.unique(keys >> np.uint64(8), return_inverse=True)
         parent = np.searchsorted(made[-1].contexts, contexts & np.uint64((1 << 8 * (depth - 1)) - 1)) if depth else np.zeros(len(contexts), np.int64)
-        made.append(Level(contexts, parent, dense))
-    leaves: list[tuple[int, np.ndarray, np.ndarray]] = []  # depth of the parent, parent's row, counts: of the common branches
-    below = None
-    for depth in range(len(made) - 1, -1, -1):
+        made.append(Level(contexts, parent, row * 256 + (keys & np.uint64(255)).astype(np.int64), counts))
+    last = len(made) - 1
+    below = np.zeros((0, 255))
+    for depth in range(last, -1, -1):
         level = made[depth]
-        zeros, ones = _zeros_ones(level.counts)
+        zeros, ones = _zeros_ones(level.dense())
         own = _log_kt(zeros, ones)
+        if depth == last:
+            below = own
+            continue
         level.one = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-        if depth + 1 == len(made):
-            weighted = own
-        else:
-            longer = made[depth + 1]
-            common = level.counts.copy()
-            np.subtract.at(common, longer.parent, longer.counts)
-            together = _log_kt(*_zeros_ones(common))
-            np.add.at(together, longer.parent, below)
-            weighted = np.logaddexp(LOG_HALF + own, LOG_HALF + together)
-            level.stop = np.exp(LOG_HALF + own - weighted).astype(np.float32)
-            leaves.append((depth, np.arange(len(level.contexts)), common))
-            longer.counts = longer.counts if depth + 2 == len(made) else None
-        below = weighted
-    if len(made) > 1:
-        leaves.append((len(made) - 2, made[-1].parent, made[-1].counts))
-    else:
-        leaves.append((-1, np.zeros(1, np.int64), made[0].counts))
+        together = _log_kt(*_zeros_ones(_common(level, made[depth + 1])))
+        np.add.at(together, made[depth + 1].parent, below)
+        below = np.logaddexp(LOG_HALF + own, LOG_HALF + together)
+        level.stop = np.exp(LOG_HALF + own - below).astype(np.float32)
     first_node = np.cumsum([0, *(len(x.contexts) for x in made[:-1])])
-    child = np.zeros((max(1, int(first_node[-1])), 256), np.int32)
+    child = np.zeros((first_node[last], 256), np.int32)
     tables, n_leaves = [], 0
-    for depth, row, counts in leaves:
-        rows = len(counts)
-        if depth + 2 == len(made) and counts is made[-1].counts:  # the longest contexts themselves
-            last = (made[-1].contexts >> np.uint64(8 * depth)).astype(np.int64)
-            longest = (first_node[depth] + row, last, -1 - (n_leaves + np.arange(rows)))
-        else:
-            child[first_node[depth] + row] = (-1 - (n_leaves + np.arange(rows)))[:, None]
+    for depth in range(last):  # the common branch of every context
+        rows = len(made[depth].contexts)
+        child[first_node[depth] : first_node[depth] + rows] = (-1 - (n_leaves + np.arange(rows)))[:, None]
+        common = _common(made[depth], made[depth + 1])
+        tables += [_predictions(made, depth, np.arange(i, min(i + 2048, rows)), common[i : i + 2048]) for i in range(0, rows, 2048)]
         n_leaves += rows
-        for i in range(0, rows, 2048):
-            tables.append(_predictions(made, depth, row[i : i + 2048], counts[i : i + 2048]))
-    for depth in range(1, len(made) - 1):
-        last = (made[depth].contexts >> np.uint64(8 * (depth - 1))).astype(np.int64)
-        child[first_node[depth - 1] + made[depth].parent, last] = first_node[depth] + np.arange(len(last))
-    if len(made) > 1:
-        child[longest[0], longest[1]] = longest[2]
-    else:
-        child[:] = -1
+    for depth in range(1, last + 1):
+        rows = len(made[depth].contexts)
+        byte = (made[depth].contexts >> np.uint64(8 * (depth - 1))).astype(np.int64)
+        child[first_node[depth - 1] + made[depth].parent, byte] = first_node[depth] + np.arange(rows) if depth < last else -1 - (n_leaves + np.arange(rows))
+    longest = made[last].dense()
+    tables += [_predictions(made, last - 1, made[last].parent[i : i + 2048], longest[i : i + 2048]) for i in range(0, len(longest), 2048)]
     return Tree(child, np.concatenate(tables))
 
 
@@ -207,4 +211,4 @@ def _predictions(made: list[Level], depth: int, row: np.ndarray, counts: np.ndar
         first = (1 << level) - 1
         here = slice(first, 2 * first + 1)
         total = np.stack([total + log_zero[:, here], total + log_one[:, here]], axis=2).reshape(len(counts), -1)
-    return total.astype(np.float32)
+    return total.astype(np.float16)

@@ -1,7 +1,7 @@
 """LM scoring: log10 probabilities of texts by context-tree weighting, beside a word-count base.
 
-Texts are stored once, compressed, and dealt into blocks of bounded size. Both
-models' counts are gathered from all training texts: byte contexts with the
+Texts are stored once, compressed, in blocks of bounded size. Both models'
+counts are gathered from all training texts: byte contexts with the
 next byte, and words. A block sends its distinct keys with counts, packed and
 sorted, to shards by key; a shard adds up and, for words, sends each block the
 totals of its own words in the block's order. So what moves grows with distinct
@@ -14,62 +14,26 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree
-from .frames import block_count, lean, map_batches, pieces, raw, remainder, settled, table, text_bytes
+from .blocks import SLICE, by_block, shard_bounds, squeeze, steps, stored, texts_of, unsqueeze
+from .frames import lean, remainder, settled, table, text_bytes
 from .words import word_hashes
 
-BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 64 << 20
-#: Bytes of text that are worked on at once.
-SLICE = 4 << 20
 #: Stands for the end of a text among the words' hashes.
 END = np.uint64(0xE2D0F7E871E2D0F7)
 
 
-def stored(docs: DataFrame, blocks: int) -> DataFrame:
-    """doc_id, training, block, packed: every row with its text, A-Z lower-cased, compressed; rows are dealt evenly to blocks."""
-
-    def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packer = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("training"), batch.column("block"), pa.array([packer.compress(t.lower()) for t in raw(batch.column("text"))], pa.binary())],
-            names=["doc_id", "training", "block", "packed"],
-        )
-
-    dealt = docs.select("doc_id", "training", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), "text")
-    return settled(map_batches(dealt, pack, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, training boolean, block int, packed binary"))
-
-
-def _texts(packed: pa.Array | pa.ChunkedArray):
-    """(first row, texts) for runs of rows of about SLICE bytes of text."""
-    unpacker, run, start, size = zstandard.ZstdDecompressor(), [], 0, 0
-    for i, p in enumerate(packed.to_pylist()):
-        text = unpacker.decompress(p)
-        if run and size + len(text) > SLICE:
-            yield start, run
-            run, start, size = [], i, 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield start, run
-
-
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, and counts, bytes of one place together, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
-    small = counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(steps.tobytes() + small.tobytes())
+    return squeeze(steps(keys), counts.astype(np.uint32))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    b = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(b) // 12
-    steps = np.ascontiguousarray(b[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64), np.ascontiguousarray(b[8 * n :].reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    keys, counts = unsqueeze(blob, np.uint64, np.uint32)
+    return np.cumsum(keys, dtype=np.uint64), counts.astype(np.int64)
 
 
 def learn_tree(texts: DataFrame, shards: int, n_bytes: int) -> context_tree.Tree:
@@ -82,15 +46,18 @@ def learn_tree(texts: DataFrame, shards: int, n_bytes: int) -> context_tree.Tree
     by = np.uint64(shards)
 
     def gather(batches):
-        for batch in batches:
-            training = batch.filter(batch.column("training"))
-            for part in pieces(training, SLICE) if training.num_rows else ():
-                found = [context_tree.counted_grams(run) for _, run in _texts(part.column("packed"))]
-                keys, counts = context_tree.merged(*(np.concatenate(x) for x in zip(*found, strict=True)))
-                three = keys >> np.uint64(8) & np.uint64(0xFFFFFF)
-                shard = ((three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % by
-                blobs = [(int(s), _pack(keys[here], counts[here])) for s in np.unique(shard) for here in [shard == s]]
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["shard", "blob"])
+        for block in by_block(batches):
+            training = block.filter(block.column("training"))
+            if not training.num_rows:
+                continue
+            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            for _, run in texts_of(training.column("packed"), 2 * SLICE):
+                more = context_tree.counted_grams(run)
+                keys, counts = context_tree.merged(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
+            three = keys >> np.uint64(8) & np.uint64(0xFFFFFF)
+            shard = ((three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % by
+            blobs = [(int(s), _pack(keys[here], counts[here])) for s in np.unique(shard) for here in [shard == s]]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["shard", "blob"])
 
     def add_up(rows: pa.Table) -> pa.Table:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -105,7 +72,7 @@ def learn_tree(texts: DataFrame, shards: int, n_bytes: int) -> context_tree.Tree
             out.append(found[0].tobytes() + found[1].tobytes())
         return pa.table({"depth": pa.array(depths, pa.int32()), "counts": pa.array(out, pa.binary())})
 
-    blobs = texts.select("training", "packed").mapInArrow(gather, "shard int, blob binary")
+    blobs = texts.select("block", "training", "packed").mapInArrow(gather, "shard int, blob binary")
     levels: dict[int, list] = {d: [] for d in range(context_tree.DEPTH + 1)}
     for r in blobs.groupBy("shard").applyInArrow(add_up, "depth int, counts binary").toLocalIterator():
         b = np.frombuffer(bytes(r["counts"]), np.uint64)
@@ -117,7 +84,7 @@ def learn_tree(texts: DataFrame, shards: int, n_bytes: int) -> context_tree.Tree
 def _block_words(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of a block, ends included, and where each row's begin."""
     hashes, begins, n = [], [], 0
-    for _, run in _texts(packed):
+    for _, run in texts_of(packed):
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in run])])
         words, at = word_hashes(np.frombuffer(b"".join(run), np.uint8), offsets)
         own = np.insert(words, at[1:], END)
@@ -133,37 +100,35 @@ def word_totals(texts: DataFrame, shards: int) -> DataFrame:
     known and tokens, the shard's distinct training tokens and their number, are on one of its rows and 0 on others.
     """
 
-    def send(rows: pa.Table) -> pa.Table:
-        hashes, begins = _block_words(rows.column("packed"))
-        training = np.repeat(rows.column("training").to_numpy(zero_copy_only=False), np.diff(np.append(begins, len(hashes))))
-        keys, place = np.unique(hashes, return_inverse=True)
-        counts = np.bincount(place, training, len(keys)).astype(np.int64)
-        bounds = np.searchsorted(keys, _bounds(shards))
-        used = [s for s in range(shards) if bounds[s + 1] > bounds[s]]
-        return pa.table({"block": pa.array([rows.column("block")[0].as_py()] * len(used), pa.int32()), "shard": pa.array(used, pa.int32()), "blob": pa.array([_pack(keys[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]]) for s in used], pa.binary())})
+    def send(batches):
+        for block in by_block(batches):
+            hashes, begins = _block_words(block.column("packed"))
+            training = np.repeat(block.column("training").to_numpy(), np.diff(np.append(begins, len(hashes))))
+            keys, place = np.unique(hashes, return_inverse=True)
+            counts = np.bincount(place, training, len(keys))
+            bounds = [0, *np.searchsorted(keys, shard_bounds(shards)).tolist(), len(keys)]
+            used = [s for s in range(shards) if bounds[s + 1] > bounds[s]]
+            blobs = [_pack(keys[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]]) for s in used]
+            yield pa.RecordBatch.from_arrays([pa.array([block.column("block")[0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "shard", "blob"])
 
     def add_up(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
         given = [_unpack(b) for b in rows.column("blob").to_pylist()]
         keys, counts = context_tree.merged(*(np.concatenate(x) for x in zip(*given, strict=True)))
-        totals = [counts[np.searchsorted(keys, k)].astype(np.int64).tobytes() for k, _ in given]
+        totals = [squeeze(counts[np.searchsorted(keys, k)]) for k, _ in given]
         first = np.arange(len(given)) == 0
         return pa.table(
             {
                 "block": rows.column("block"),
                 "shard": rows.column("shard"),
-                "totals": pa.array([zstandard.ZstdCompressor(level=1).compress(t) for t in totals], pa.binary()),
+                "totals": pa.array(totals, pa.binary()),
                 "known": pa.array(first * int((counts > 0).sum()), pa.int64()),
                 "tokens": pa.array(first * int(counts.sum()), pa.int64()),
             }
         )
 
-    blobs = texts.groupBy("block").applyInArrow(send, "block int, shard int, blob binary")
-    return blobs.groupBy("shard").applyInArrow(add_up, "block int, shard int, totals binary, known long, tokens long")
-
-
-def _bounds(shards: int) -> np.ndarray:
-    return np.array([min(s * (1 << 64) // shards, (1 << 64) - 1) for s in range(shards)] + [(1 << 64) - 1], np.uint64)
+    blobs = texts.select("block", "training", "packed").mapInArrow(send, "block long, shard int, blob binary")
+    return blobs.groupBy("shard").applyInArrow(add_up, "block long, shard int, totals binary, known long, tokens long")
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -176,12 +141,11 @@ def scores(docs: DataFrame) -> DataFrame:
     are there. Without training rows every byte is equally likely and the base
     is 0 per token. No rows give no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("training", F.lit(False)).alias("training"), "text")
     n_bytes = text_bytes(docs)
     shards = max(1, math.ceil(n_bytes / SHARD_BYTES))
-    texts = stored(docs, block_count(spark, n_bytes, BLOCK_BYTES))
-    tree = spark.sparkContext.broadcast(learn_tree(texts, shards, text_bytes(docs.where("training"))))
+    texts = stored(docs, lower=True)
+    tree = docs.sparkSession.sparkContext.broadcast(learn_tree(texts, shards, text_bytes(docs.where("training"))))
     totals = settled(word_totals(texts, shards))
     known, tokens = totals.agg(F.sum("known"), F.sum("tokens")).first()
     scale = math.log10((tokens or 0) + 0.5 * ((known or 0) + 1))
@@ -191,8 +155,7 @@ def scores(docs: DataFrame) -> DataFrame:
             return pa.table({"doc_id": pa.array([], id_type), "training": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         hashes, begins = _block_words(rows.column("packed"))
         _, place = np.unique(hashes, return_inverse=True)
-        unpacker = zstandard.ZstdDecompressor()
-        total = np.concatenate([np.frombuffer(unpacker.decompress(b), np.int64) for b in replies.sort_by("shard").column("totals").to_pylist()])[place]
+        total = np.concatenate([unsqueeze(b, np.int64)[0] for b in replies.sort_by("shard").column("totals").to_pylist()])[place]
         n = np.diff(np.append(begins, len(hashes)))
         base = np.add.reduceat(np.log10(total + 0.5), begins) - n * scale
         return pa.table(
@@ -202,7 +165,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 "n_tokens": pa.array(n, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((total > 0).astype(np.int64), begins), pa.int64()),
                 "base_score": pa.array(base),
-                "score": pa.array(np.concatenate([tree.value.score(run) for _, run in _texts(rows.column("packed"))])),
+                "score": pa.array(np.concatenate([tree.value.score(run) for _, run in texts_of(rows.column("packed"))])),
             }
         )
 
