@@ -50,7 +50,7 @@ class Template:
             for mark in marks:
                 for cut in range(1, len(control)):
                     rest = control[cut:]
-                    if control != mark and (mark.startswith(rest) or rest.startswith(mark)) and mark != rest:
+                    if control != mark and (mark.startswith(rest) or rest.startswith(mark)):
                         raise ValueError(f"text before {mark!r} could end in a part of {control!r}")
 
     @property
