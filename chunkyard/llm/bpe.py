@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
@@ -23,10 +23,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer, pre_tokenizers
 
-from .frames import lean, map_batches, raw, table
+from .frames import lean, pieces, raw, table
 
 #: Words that are remembered; when full, the memory starts anew, which changes no result.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 LONGEST_REMEMBERED = 64
 
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
@@ -144,7 +144,15 @@ def spec_of(spark: SparkSession, path: str | None = None) -> Broadcast:
 def coded(rows: DataFrame, f: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], schema: str, path: str | None = None) -> DataFrame:
     """f over batches of rows, with the codec of the tokenizer's file."""
     spec = spec_of(rows.sparkSession, path)
-    return map_batches(rows, lambda batch: f(_codec(spec.value), batch), schema)
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(spec.value)
+        for whole in batches:
+            for batch in pieces(whole):
+                yield f(codec, batch)
+        codec.memory.clear()  # the worker lives on for other stages
+
+    return rows.mapInArrow(over, schema)
 
 
 def _id_type(df: DataFrame) -> str:

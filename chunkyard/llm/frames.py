@@ -23,8 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch: both ends of a worker's pipe hold a few of them.
+BATCH_BYTES = 8 << 20
+
+
 def reach(spark: SparkSession) -> None:
-    """Lets Python workers import this package where it is not installed."""
+    """Lets Python workers import this package where it is not installed, and bounds what they are sent at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
