@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .frames import pieces, raw, settled
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Blocks that the numbering leaves room for in one task.
 BLOCKS_A_TASK = 1 << 20
 SLICE = 4 << 20

@@ -25,6 +25,8 @@ CONTEXTS = 1 << 17
 #: Ends every text, and stands before it; UTF-8 never has this byte.
 END = 255
 LOG_HALF = np.log(0.5)
+#: Contexts whose binary nodes are worked on at once.
+PART = 2048
 
 
 def grams(stream: np.ndarray) -> np.ndarray:
@@ -52,6 +54,25 @@ def counted_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams(data)[own[DEPTH:]], return_counts=True)
 
 
+class Counter:
+    """Counted grams of any number of texts, merged whenever a bounded number waits."""
+
+    def __init__(self, waiting: int = 1 << 21) -> None:
+        self.waiting, self.held, self.n = waiting, [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append((keys, counts))
+        self.n += len(keys)
+        if self.n > self.waiting and len(self.held) > 1:
+            self.held = [self.total()]
+            self.n, self.waiting = len(self.held[0][0]), max(self.waiting, 2 * len(self.held[0][0]))
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return merged(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+
+
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out, place = np.unique(keys, return_inverse=True)
     return out, np.bincount(place, counts, len(out)).astype(np.int64)
@@ -97,22 +118,23 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Level:
     contexts: np.ndarray  # sorted
     parent: np.ndarray  # row in the level above
-    place: np.ndarray  # of each count in [contexts, 256], flat
+    by_parent: np.ndarray  # rows in order of parent
+    place: np.ndarray  # of each count in [contexts, 256], flat and sorted
     counts: np.ndarray
+    common: np.ndarray | None = None  # counts without those of the longer contexts
     stop: np.ndarray | None = None  # [contexts, 255]: weight of the own estimate at each binary node
     one: np.ndarray | None = None  # the own estimate of a one
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros(len(self.contexts) * 256)
-        out[self.place] = self.counts
+    def dense(self, counts: np.ndarray, start: int, end: int) -> np.ndarray:
+        """[end - start, 256] of the level's sparse counts."""
+        i, j = np.searchsorted(self.place, [start * 256, end * 256])
+        out = np.zeros((end - start) * 256)
+        out[self.place[i:j] - start * 256] = counts[i:j]
         return out.reshape(-1, 256)
 
-
-def _common(level: Level, longer: Level) -> np.ndarray:
-    """Counts of a level's contexts without those of their longer contexts."""
-    out = level.dense()
-    np.subtract.at(out.ravel(), longer.parent[longer.place >> 8] << 8 | longer.place & 255, longer.counts)
-    return out
+    def parts(self) -> list[tuple[int, int]]:
+        n = len(self.contexts)
+        return [(i, min(i + PART, n)) for i in range(0, n, PART)]
 
 
 class Tree:
@@ -161,37 +183,52 @@ def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         if depth == 0 and not len(keys):
             keys, counts = np.zeros(1, np.uint64), np.zeros(1, np.int64)
         contexts, row = np.unique(keys >> np.uint64(8), return_inverse=True)
-        parent = np.searchsorted(made[-1].contexts, contexts & np.uint64((1 << 8 * (depth - 1)) - 1)) if depth else np.zeros(len(contexts), np.int64)
-        made.append(Level(contexts, parent, row * 256 + (keys & np.uint64(255)).astype(np.int64), counts))
+        parent = np.zeros(len(contexts), np.int64)
+        if depth:
+            shorter = np.uint64((1 << 8 * (depth - 1)) - 1)
+            parent = np.searchsorted(made[-1].contexts, contexts & shorter)
+            made[-1].common = made[-1].counts.copy()
+            of = np.searchsorted(made[-1].place, parent[row] << 8 | (keys & np.uint64(255)).astype(np.int64))
+            np.subtract.at(made[-1].common, of, counts)
+        made.append(Level(contexts, parent, np.argsort(parent, kind="stable"), row * 256 + (keys & np.uint64(255)).astype(np.int64), counts))
     last = len(made) - 1
     below = np.zeros((0, 255))
     for depth in range(last, -1, -1):
         level = made[depth]
-        zeros, ones = _zeros_ones(level.dense())
-        own = _log_kt(zeros, ones)
-        if depth == last:
-            below = own
-            continue
-        level.one = ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
-        together = _log_kt(*_zeros_ones(_common(level, made[depth + 1])))
-        np.add.at(together, made[depth + 1].parent, below)
-        below = np.logaddexp(LOG_HALF + own, LOG_HALF + together)
-        level.stop = np.exp(LOG_HALF + own - below).astype(np.float32)
+        n = len(level.contexts)
+        weighted = np.empty((n, 255))
+        if depth < last:
+            longer = made[depth + 1]
+            level.stop, level.one = np.empty((n, 255), np.float32), np.empty((n, 255), np.float32)
+        for i, j in level.parts():
+            zeros, ones = _zeros_ones(level.dense(level.counts, i, j))
+            own = _log_kt(zeros, ones)
+            if depth == last:
+                weighted[i:j] = own
+                continue
+            together = _log_kt(*_zeros_ones(level.dense(level.common, i, j)))
+            a, b = np.searchsorted(longer.parent[longer.by_parent], [i, j])
+            children = longer.by_parent[a:b]
+            np.add.at(together, longer.parent[children] - i, below[children])
+            weighted[i:j] = np.logaddexp(LOG_HALF + own, LOG_HALF + together)
+            level.stop[i:j] = np.exp(LOG_HALF + own - weighted[i:j])
+            level.one[i:j] = (ones + 0.5) / (zeros + ones + 1)
+        below = weighted
+    del below, weighted
     first_node = np.cumsum([0, *(len(x.contexts) for x in made[:-1])])
     child = np.zeros((first_node[last], 256), np.int32)
     tables, n_leaves = [], 0
     for depth in range(last):  # the common branch of every context
-        rows = len(made[depth].contexts)
+        level, rows = made[depth], len(made[depth].contexts)
         child[first_node[depth] : first_node[depth] + rows] = (-1 - (n_leaves + np.arange(rows)))[:, None]
-        common = _common(made[depth], made[depth + 1])
-        tables += [_predictions(made, depth, np.arange(i, min(i + 2048, rows)), common[i : i + 2048]) for i in range(0, rows, 2048)]
+        tables += [_predictions(made, depth, np.arange(i, j), level.dense(level.common, i, j)) for i, j in level.parts()]
         n_leaves += rows
     for depth in range(1, last + 1):
         rows = len(made[depth].contexts)
         byte = (made[depth].contexts >> np.uint64(8 * (depth - 1))).astype(np.int64)
         child[first_node[depth - 1] + made[depth].parent, byte] = first_node[depth] + np.arange(rows) if depth < last else -1 - (n_leaves + np.arange(rows))
-    longest = made[last].dense()
-    tables += [_predictions(made, last - 1, made[last].parent[i : i + 2048], longest[i : i + 2048]) for i in range(0, len(longest), 2048)]
+    level = made[last]
+    tables += [_predictions(made, last - 1, level.parent[i:j], level.dense(level.counts, i, j)) for i, j in level.parts()]
     return Tree(child, np.concatenate(tables))
 
 

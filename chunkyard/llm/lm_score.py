@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree
-from .blocks import SLICE, by_block, shard_bounds, squeeze, steps, stored, texts_of, unsqueeze
+from .blocks import by_block, shard_bounds, squeeze, steps, stored, texts_of, unsqueeze
 from .frames import lean, remainder, settled, table, text_bytes
 from .words import word_hashes
 
 SHARD_BYTES = 64 << 20
+#: Bytes of text that the tree works on at once.
+SLICE = 1 << 20
 #: Stands for the end of a text among the words' hashes.
 END = np.uint64(0xE2D0F7E871E2D0F7)
 
@@ -50,21 +52,20 @@ def learn_tree(texts: DataFrame, shards: int, n_bytes: int) -> context_tree.Tree
             training = block.filter(block.column("training"))
             if not training.num_rows:
                 continue
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for _, run in texts_of(training.column("packed"), 2 * SLICE):
-                more = context_tree.counted_grams(run)
-                keys, counts = context_tree.merged(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
+            found = context_tree.Counter()
+            for _, run in texts_of(training.column("packed"), SLICE):
+                found.add(*context_tree.counted_grams(run))
+            keys, counts = found.total()
             three = keys >> np.uint64(8) & np.uint64(0xFFFFFF)
             shard = ((three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % by
             blobs = [(int(s), _pack(keys[here], counts[here])) for s in np.unique(shard) for here in [shard == s]]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["shard", "blob"])
 
     def add_up(rows: pa.Table) -> pa.Table:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        blobs = rows.column("blob").to_pylist()
-        for i in range(0, len(blobs), 16):
-            more = [_unpack(b) for b in blobs[i : i + 16]]
-            keys, counts = context_tree.merged(np.concatenate([keys, *(k for k, _ in more)]), np.concatenate([counts, *(c for _, c in more)]))
+        found = context_tree.Counter()
+        for blob in rows.column("blob"):
+            found.add(*_unpack(blob.as_py()))
+        keys, counts = found.total()
         depths, out = [], []
         for depth in range(2, context_tree.DEPTH + 1):  # shorter contexts are in several shards; their counts follow from depth 2
             found = context_tree.frequent(keys, counts, depth, least if depth > 2 else 1)
@@ -165,7 +166,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 "n_tokens": pa.array(n, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((total > 0).astype(np.int64), begins), pa.int64()),
                 "base_score": pa.array(base),
-                "score": pa.array(np.concatenate([tree.value.score(run) for _, run in texts_of(rows.column("packed"))])),
+                "score": pa.array(np.concatenate([tree.value.score(run) for _, run in texts_of(rows.column("packed"), SLICE)])),
             }
         )
 
