@@ -66,7 +66,7 @@ def _tile(parts: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, ...]:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """row, anchor, first and last start of its windows (int64 each), hash of its key (uint64), in order."""
+    """row, anchor, first and last start of its windows (int64 each), hash of its key (uint64)."""
     found: list[tuple[np.ndarray, ...]] = []
     for data, lengths, rows, places in _tiles(texts):
         h = byte_values()[data]
@@ -92,7 +92,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         last = np.append(first[1:], len(window)) - 1
         part = of[window[first]]
         shift = places[part] - starts[part]
-        found.append((rows[part], chosen[first] + shift, window[first] + shift, window[last] + shift, h[chosen[first]]))
+        found.append((rows[part], chosen[first] + shift, window[first] + shift, window[last] + shift, mix(h[chosen[first]])))  # mixed again: least hashes are small, and shards are dealt by size
     if not found:
         return (*(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
