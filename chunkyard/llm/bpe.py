@@ -25,7 +25,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from .frames import lean, pieces, raw, table
 
-#: Words that are remembered; when full, the memory starts anew, which changes no result.
+#: Words of a generation of what is remembered; it changes no result.
 REMEMBERED = 1 << 17
 LONGEST_REMEMBERED = 64
 
@@ -89,7 +89,7 @@ class Codec:
 
     def encode_word(self, word: str) -> tuple[int, ...]:
         parts = self.fragments(word.encode("utf-8", "surrogatepass"))
-        return tuple(t.id for part in parts for t in self.model.tokenize(part.decode("latin-1").translate(self.letters)))
+        return tuple([t.id for part in parts for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))])
 
     def encode_plain(self, text: str) -> list[int]:
         if UNSURE.search(text):
@@ -113,17 +113,25 @@ class Codec:
 
 
 class _Memory(dict):
+    """Ids of words. Two generations: when the young one is full it becomes the old one, from which words that come again return."""
+
     def __init__(self, codec: Codec) -> None:
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.codec.encode_word(word)
+        if (ids := self.old.get(word)) is None:
+            ids = self.codec.encode_word(word)
         if len(word) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 @lru_cache(2)
 def _codec(spec: str) -> Codec:
@@ -150,7 +158,7 @@ def coded(rows: DataFrame, f: Callable[[Codec, pa.RecordBatch], pa.RecordBatch],
         for whole in batches:
             for batch in pieces(whole):
                 yield f(codec, batch)
-        codec.memory.clear()  # the worker lives on for other stages
+        codec.memory.forget()  # the worker lives on for other stages
 
     return rows.mapInArrow(over, schema)
 
