@@ -16,13 +16,14 @@ from .frames import settled
 def _large_star(links: DataFrame) -> DataFrame:
     """Links (a, b), b < a: every larger neighbour of a node is linked to the node's least neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    # Stored, so that the join's sides are dealt apart from the sums and a node with very many links can be split.
+    least = settled(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")))
     return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links (a, b), b < a: a and its smaller neighbours are linked to the least of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("least"))
+    least = settled(links.groupBy("a").agg(F.min("b").alias("least")))
     moved = links.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b")))
 
@@ -39,6 +40,6 @@ def components(links: DataFrame) -> DataFrame:
         if size == seen:
             break
         seen = size
-        now = settled(_small_star(_large_star(now).distinct()).distinct())
+        now = settled(_small_star(settled(_large_star(now).distinct())).distinct())
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
