@@ -6,6 +6,7 @@ block's rows are numbered, so later passes name a row by its number.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,13 @@ from pyspark.sql import DataFrame
 from .frames import pieces, raw, settled
 
 BLOCK_BYTES = 16 << 20
+#: What a row counts beside its text, so that blocks of empty texts are bounded too.
+ROW_BYTES = 64
 #: Blocks that the numbering leaves room for in one task.
 BLOCKS_A_TASK = 1 << 20
 SLICE = 4 << 20
+SHARD_BYTES = 64 << 20
+LEAST_SHARDS = 8
 
 
 def stored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, lower: bool = False) -> DataFrame:
@@ -34,12 +39,13 @@ def stored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, lower: bool = False)
             for batch in pieces(whole):
                 blocks, rows, packed = [], [], []
                 for text in raw(batch.column("text")):
-                    if size and size + len(text) > block_bytes:
+                    cost = len(text) + ROW_BYTES
+                    if size and size + cost > block_bytes:
                         block, row, size = block + 1, 0, 0
                     packed.append(packer.compress(text.lower() if lower else text))
                     blocks.append(block)
                     rows.append(row)
-                    row, size = row + 1, size + len(text)
+                    row, size = row + 1, size + cost
                 arrays = [*(batch.column(n) for n in names), pa.array(blocks, pa.int64()), pa.array(rows, pa.int32()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "block", "row", "packed"])
 
@@ -98,6 +104,11 @@ def steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=np.uint64(0))
 
 
+def shard_count(n_bytes: int) -> int:
+    """Shards for the keys of so many bytes of text; a few at least, so that small inputs are shared out too."""
+    return max(LEAST_SHARDS, math.ceil(n_bytes / SHARD_BYTES))
+
+
 def shard_bounds(shards: int) -> np.ndarray:
     """The least hash of each shard but the first; for searchsorted."""
     return np.array([s * (1 << 64) // shards for s in range(1, shards)], np.uint64)

@@ -18,11 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree
-from .blocks import by_block, shard_bounds, squeeze, steps, stored, texts_of, unsqueeze
+from .blocks import by_block, shard_bounds, shard_count, squeeze, steps, stored, texts_of, unsqueeze
 from .frames import lean, remainder, settled, table, text_bytes
 from .words import word_hashes
 
-SHARD_BYTES = 64 << 20
 #: Bytes of text that the tree works on at once.
 SLICE = 1 << 20
 #: Stands for the end of a text among the words' hashes.
@@ -144,7 +143,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("training", F.lit(False)).alias("training"), "text")
     n_bytes = text_bytes(docs)
-    shards = max(1, math.ceil(n_bytes / SHARD_BYTES))
+    shards = shard_count(n_bytes)
     texts = stored(docs, lower=True)
     tree = docs.sparkSession.sparkContext.broadcast(learn_tree(texts, shards, text_bytes(docs.where("training"))))
     totals = settled(word_totals(texts, shards))

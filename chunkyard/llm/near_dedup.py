@@ -34,8 +34,10 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 256
 SIGMAS = 5
+#: Classes of a bucket that meet in one block; larger buckets are compared by pairs of blocks.
+BUCKET = 8192
 #: Classes of a cluster that meet in one block.
-BLOCK = 512
+BLOCK = 256
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 8192
 KEY = 16
@@ -139,31 +141,49 @@ def candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
 
     most = most_ones(percent)
 
+    key = ["bucket", "first", "second"]
+
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if batch.num_rows and batch.column("bucket")[0] != batch.column("bucket")[batch.num_rows - 1]:
+            if batch.num_rows and any(batch.column(k)[0] != batch.column(k)[batch.num_rows - 1] for k in key):
                 whole = pa.Table.from_batches(held).combine_chunks()
-                bucket = whole.column("bucket").to_numpy()
-                last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+                last = int(_group_starts(whole)[-1])  # the last group may go on
                 yield from _tied(whole.slice(0, last), most)
                 held = whole.slice(last).to_batches()
         if held:
             yield from _tied(pa.Table.from_batches(held).combine_chunks(), most)
 
     rows = map_batches(classes.select("class_key", "buckets", "sketch"), spread, "bucket long, payload binary")
-    ties = rows.repartition(partitions(classes.sparkSession), "bucket").sortWithinPartitions("bucket", "payload").mapInArrow(tie, "a binary, b binary")
+    hot = settled(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("bucket", F.ceil(F.col("n") / BUCKET).cast("int").alias("blocks")))
+    if hot.isEmpty():
+        dealt = rows.select("bucket", F.lit(0).alias("first"), F.lit(0).alias("second"), "payload")
+    else:
+        blocked = rows.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        blocked = blocked.withColumn("block", F.pmod(F.xxhash64("payload"), F.col("blocks")).cast("int"))
+        paired = blocked.select("bucket", "payload", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = paired.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "payload")
+    ties = dealt.repartition(partitions(classes.sparkSession), *key).sortWithinPartitions(*key, "payload").mapInArrow(tie, "a binary, b binary")
     return ties.distinct()
 
 
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for k in ("bucket", "first", "second"):
+        x = rows.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
 def _tied(rows: pa.Table, most: int) -> Iterator[pa.RecordBatch]:
     if rows.num_rows < 2:
         return
-    bucket, payload = rows.column("bucket").to_numpy(), _fixed(rows.column("payload"), PAYLOAD)
+    payload = _fixed(rows.column("payload"), PAYLOAD)
     keys, sketches = payload[:, :KEY], np.ascontiguousarray(payload[:, KEY:]).view(np.uint64)
-    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    sizes = np.diff(np.append(starts, len(bucket)))
+    starts = _group_starts(rows)
+    sizes = np.diff(np.append(starts, len(payload)))
     two = starts[sizes == 2]
     two = two[np.bitwise_count(sketches[two] ^ sketches[two + 1]).sum(1) <= most]
     a, b = [two + 1], [two]
@@ -267,7 +287,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     named = linked.join(classes.select(F.col("class_key").alias("node"), "first_id"), "node")
     roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = classes.select("class_key", "first_id").join(linked.join(roots, "root").select(F.col("node").alias("class_key"), "component_id"), "class_key", "left")
-    ids = ids.select("class_key", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Stored, so that the join with all rows is dealt by itself and a class with very many copies can be split.
+    ids = settled(ids.select("class_key", F.coalesce("component_id", "first_id").alias("component_id")))
     out = rows.select("doc_id", "row_hash", "n_shingles", "class_key").join(ids, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -19,7 +19,6 @@ bytes from it to the end of its last window, and those before it.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import by_block, shard_bounds, squeeze, steps, stored, texts_of, unsqueeze
+from .blocks import by_block, shard_bounds, shard_count, squeeze, steps, stored, texts_of, unsqueeze
 from .frames import lean, settled, table, text_bytes
 from .suffix_merge import decode_run, front_code, merge
 from .words import byte_values, mix
@@ -37,11 +36,12 @@ WINDOW = 200
 KEY = 32
 #: Key starts in a window, less one.
 REACH = WINDOW - KEY
-SHARD_BYTES = 64 << 20
 TILE = 1 << 18
 #: Bits of a place inside a tile.
 PLACE = np.uint64((1 << 24) - 1)
-COVERED, MERGE, SENDER = 1, 2, 4
+COVERED, MERGE, SENDER, HOT = 1, 2, 4, 8
+#: Different records of one key that are merged together; those of keys with more are split by longer strings first.
+MOST = 4096
 
 
 def _tiles(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -118,8 +118,8 @@ def _pairs(key: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _replies(texts: DataFrame, shards: int) -> DataFrame:
-    """block, shard, flags: for a block's distinct (key, record) of a shard, in order, COVERED, MERGE and SENDER."""
+def _replies(texts: DataFrame, shards: int, most: int) -> DataFrame:
+    """block, shard, flags: for a block's distinct (key, record) of a shard, in order, COVERED, MERGE, SENDER and HOT."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in by_block(batches):
@@ -140,7 +140,9 @@ def _replies(texts: DataFrame, shards: int) -> DataFrame:
         flags[order] |= (COVERED * (np.bincount(of, n[order]) >= 2)).astype(np.uint8)[of]
         flags[order[first]] |= SENDER  # lexsort is stable: of equal records, the one of the first block
         new_key = np.append(True, np.diff(key[order][first]) != 0)
-        flags[order] |= (MERGE * (np.bincount(np.cumsum(new_key) - 1) >= 2)).astype(np.uint8)[(np.cumsum(new_key) - 1)[of]]
+        of_key = (np.cumsum(new_key) - 1)[of]
+        records = np.bincount(np.cumsum(new_key) - 1)
+        flags[order] |= (MERGE * (records >= 2) + HOT * (records > most)).astype(np.uint8)[of_key]
         bounds = np.cumsum([0, *(len(k) for k, _, _ in given)])
         return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "flags": pa.array([squeeze(flags[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())})
 
@@ -149,7 +151,7 @@ def _replies(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
-    """block, shard, runs, places: by shard a front-coded run of records and where they are; shard -1: spans that are covered."""
+    """block, shard, run, places: by shard a front-coded run of records and where they are; shard -1: covered spans; -2: records of hot keys."""
 
     def pick(block: pa.Table, answers: pa.Table) -> pa.Table:
         ids, out_shard, out_run, out_place = [], [], [], []
@@ -170,6 +172,9 @@ def _candidates(texts: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
             asks = np.zeros(len(order), bool)
             asks[order[flags & COVERED == 0]] = True
             shard = np.searchsorted(shard_bounds(shards), key[sent], side="right")
+            hot = np.zeros(len(row), bool)
+            hot[order[flags & HOT > 0]] = True
+            shard[hot[sent]] = -2
             for s in np.unique(shard):
                 here = sent[shard == s]
                 strings = []
@@ -179,7 +184,7 @@ def _candidates(texts: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
                 strings.sort()
                 j = np.array([x[2] for x in strings])
                 out_shard.append(int(s))
-                out_run.append(front_code([x[0] for x in strings]))
+                out_run.append(front_code([x[0] for x in strings]))  # of hot keys too, for what it saves
                 left = b"".join(x[1][::-1].ljust(REACH, b"\0") for x in strings)
                 out_place.append(squeeze(row[j].astype(np.int32), anchor[j].astype(np.int64), (anchor[j] - low[j]).astype(np.uint8), asks[j].astype(np.uint8), np.frombuffer(left, f"V{REACH}")))
             ids = [block_id] * len(out_shard)
@@ -237,6 +242,78 @@ def _merged(rows: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([blocks[b] for b in used], pa.int64()), "places": pa.array(blobs, pa.binary())})
 
 
+def _hot_records(picked: DataFrame) -> DataFrame:
+    """block, row, anchor, least, most (its windows begin so many bytes before the anchor), left (the nearest byte first), right, asks."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, run, places in zip(batch.column("block").to_pylist(), batch.column("run").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                row, anchor, n_left, asks, left = unsqueeze(places, np.int32, np.int64, np.uint8, np.uint8, np.dtype(f"V{REACH}"))
+                right = [s for s, _ in decode_run(run)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block] * len(row), pa.int64()),
+                        pa.array(row),
+                        pa.array(anchor),
+                        pa.array([WINDOW - len(r) for r in right], pa.int32()),
+                        pa.array(n_left.astype(np.int32)),
+                        pa.array([x.tobytes()[:n] for x, n in zip(left, n_left.tolist(), strict=True)], pa.binary()),
+                        pa.array(right, pa.binary()),
+                        pa.array(asks > 0),
+                    ],
+                    names=["block", "row", "anchor", "least", "most", "left", "right", "asks"],
+                )
+
+    return picked.where("shard = -2").select("block", "run", "places").mapInArrow(spread, "block long, row int, anchor long, least int, most int, left binary, right binary, asks boolean")
+
+
+def hot_spans(records: DataFrame) -> DataFrame:
+    """block, row, start, end: repeats among the records of hot keys, by halving their ranges of windows.
+
+    Ranges are the same for all records: 0 to REACH, its halves, their halves.
+    All windows of a range share its core, and a record's hull holds those that
+    it has. A hull that is there twice is a repeat as a whole; a core with one
+    hull has no other; what is left is halved. Groups are only ever counted,
+    with partial sums, so no group meets in one task, and after eight rounds
+    every range is one window.
+    """
+    columns = ["block", "row", "anchor", "least", "most", "left", "right", "asks"]
+    spans, now = [], settled(records.select(*columns, F.lit(0).alias("low"), F.lit(REACH).alias("high")))
+    here = F.struct("block", "row", "anchor")
+    begin, end = F.greatest("low", "least"), F.least("high", "most")
+    while not now.isEmpty():
+        core = [F.substring(F.col("left"), F.lit(1), F.col("low")), F.substring(F.col("right"), F.lit(1), WINDOW - F.col("high")), F.col("low"), F.col("high")]
+        hull = [F.substring(F.col("left"), F.lit(1), end), F.substring(F.col("right"), F.lit(1), WINDOW - begin), begin, end]
+        both = lambda x: F.struct(F.xxhash64(*x), F.xxhash64(*reversed(x)))
+        keyed = settled(now.withColumn("core", both(core)).withColumn("hull", both(hull)))
+        hulls = settled(keyed.groupBy("core", "hull").agg(F.count("*").alias("n"), F.min(here).alias("first")))
+        cores = settled(hulls.groupBy("core").agg(F.count("*").alias("hulls")))
+        told = settled(keyed.join(hulls, ["core", "hull"]).join(cores, "core"))
+        spans.append(told.where("asks and n > 1").select("block", "row", (F.col("anchor") - end).alias("start"), (F.col("anchor") - begin + WINDOW).alias("end")))
+        left = told.where("hulls > 1 and low < high").where((F.col("n") == 1) | (here == F.col("first"))).withColumn("asks", F.col("asks") & (F.col("n") == 1))
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct("low", middle.alias("high")), F.struct((middle + 1).alias("low"), "high"))
+        split = left.select(*columns, F.explode(halves).alias("half")).select(*columns, "half.low", "half.high")
+        now = settled(split.where("low <= most and high >= least"))
+    out = spans[0] if spans else records.select("block", "row", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end")).where("false")
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _packed_spans(spans: DataFrame) -> DataFrame:
+    """block, places: the spans of a task's rows, packed for each block."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, row, start, end = (batch.column(n).to_numpy() for n in ("block", "row", "start", "end"))
+            used = np.unique(block)
+            blobs = [squeeze(row[block == b], start[block == b], end[block == b]) for b in used]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(blobs, pa.binary())], names=["block", "places"])
+
+    return spans.repartition("block").sortWithinPartitions("block", "row").mapInArrow(over, "block long, places binary")
+
+
 def _union(n: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal covered runs of a text of n bytes."""
     edge = np.zeros(n + 1, np.int32)
@@ -246,22 +323,24 @@ def _union(n: int, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(covered == 1), np.flatnonzero(covered == -1)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, starts, ends (arrays of the maximal removed runs), kept (the remaining bytes) for every row.
 
     A byte goes if a WINDOW-byte string that covers it also starts anywhere
     else, in the same text or another, as the texts were given. Null and empty
     texts have no bytes; texts of fewer than WINDOW bytes lose none; repeated
     rows are repeats of each other. Other columns are ignored. No rows give no
-    rows.
+    rows. most: different records of a key that are merged in one task; it
+    changes no result.
     """
     given = lean(docs, doc_id="doc_id", text="text")
-    shards = max(1, math.ceil(text_bytes(given) / SHARD_BYTES))
+    shards = shard_count(text_bytes(given))
     texts = stored(given)
-    replies = settled(_replies(texts, shards))
+    replies = settled(_replies(texts, shards, most))
     picked = settled(_candidates(texts, replies, shards))
     merged = picked.where("shard >= 0").select("block", "shard", "run", "places").groupBy("shard").applyInArrow(_merged, "block long, places binary")
-    spans = picked.where("shard < 0").select("block", "places").unionByName(merged)
+    hot = hot_spans(_hot_records(picked))
+    spans = picked.where("shard = -1").select("block", "places").unionByName(merged).unionByName(_packed_spans(hot))
     id_name = given.schema["doc_id"].dataType.simpleString()
 
     def cut(block: pa.Table, found: pa.Table) -> pa.Table:

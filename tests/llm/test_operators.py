@@ -175,6 +175,19 @@ def test_suffix_dedup_of_overlapping_and_periodic_texts(spark):
     assert _suffix_digest(df) == bag(brute.repeats(rows))
 
 
+def test_suffix_dedup_of_hot_keys(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(450)
+    cuts = [sorted((rng.randrange(451), rng.randrange(451))) for _ in range(40)]
+    texts = [word(rng.randrange(90)) + shared[a:b] + word(rng.randrange(90)) for a, b in cuts]
+    texts += [word(i) + shared + word(40) for i in range(20)] + [shared[:300]] * 2 + [shared * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffix_dedup.repeated_spans(df, most=4).collect()
+    want = brute.repeats(list(enumerate(texts)))
+    assert bag((r["doc_id"], sum(e - s for s, e in zip(r["starts"], r["ends"], strict=True)), brute.sha(bytes(r["kept"]))) for r in got) == bag((i, n, h) for i, _, n, _, h in want)
+
+
 def test_suffix_dedup_odd_rows(odd_docs, no_docs):
     short = odd_docs.where("doc_id is null or doc_id <> 10 and doc_id <> 11")
     assert _suffix_digest(short) == bag(brute.repeats(pairs(short)))
@@ -394,6 +407,7 @@ def test_near_duplicates_are_exact(spark, sf, corpus, words):
 
 def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BUCKET", 40)
     rng = random.Random(4)
     base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     rows = []
