@@ -22,7 +22,7 @@ BLOCK_BYTES = 16 << 20
 ROW_BYTES = 64
 #: Blocks that the numbering leaves room for in one task.
 BLOCKS_A_TASK = 1 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
 SHARD_BYTES = 64 << 20
 LEAST_SHARDS = 8
 

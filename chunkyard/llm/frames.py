@@ -66,19 +66,19 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
-def pieces(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about `size` bytes, so that what Python makes of them stays small."""
     rows = max(1, batch.num_rows * size // max(batch.nbytes, 1))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """f over every row, in batches of a bounded number of bytes."""
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = 1 << 20) -> DataFrame:
+    """f over every row, in batches of about `size` bytes."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from map(f, pieces(batch))
+            yield from map(f, pieces(batch, size))
 
     return df.mapInArrow(over, schema)
 

@@ -157,7 +157,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     given = lean(docs, doc_id="doc_id", text="text")
-    return map_batches(given, over, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_batches(given, over, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double", SLICE)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
