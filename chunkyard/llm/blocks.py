@@ -53,14 +53,14 @@ def stored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, lower: bool = False)
     return settled(docs.mapInArrow(pack, ", ".join([*fields, "block long", "row int", "packed binary"])))
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each block, from stored rows in their order."""
+def by_block(batches: Iterator[pa.RecordBatch], key: str = "block") -> Iterator[pa.Table]:
+    """The rows of each block (or other key), from stored rows in their order."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         start = 0
-        block = batch.column("block").to_numpy()
+        block = batch.column(key).to_numpy()
         for end in [*(np.flatnonzero(block[1:] != block[:-1]) + 1), batch.num_rows]:
-            if held and held[0].column("block")[0] != batch.column("block")[start]:
+            if held and held[0].column(key)[0] != batch.column(key)[start]:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(start, end - start))

@@ -6,10 +6,16 @@ own and is weighted with what its longer contexts give together:
 
     P = 1/2 KT + 1/2 product of P over the longer contexts
 
-A context is held apart only if it has at least a stated part of the training
-bytes; the rest of a context's data is one common branch. So the tree has a
-bounded number of nodes whatever the corpus. Counts are final before scoring,
-and the weighted prediction of every leaf is written out as a table.
+A context is held apart if it was seen LEAST times, whatever the corpus; the
+rest of a context's data is one common branch, which also speaks for contexts
+that were never seen. So the tree grows with the corpus. Counts are final
+before scoring.
+
+Only binary nodes that were met are worked on. Keys hold a context, its latest
+byte highest, and the next byte; a node of a context is a run of its keys. The
+subtrees of contexts of TOP + 1 bytes are apart from each other (`Layers`), and
+what lies above them is a tree of its own that needs only their sums (`top`).
+`build` is the same tree in one place, for small inputs.
 """
 
 from __future__ import annotations
@@ -20,8 +26,12 @@ import numpy as np
 import zstandard
 
 DEPTH = 6
-#: A context of each depth has at least this part of the training bytes; so at most so many contexts per depth.
-CONTEXTS = 1 << 17
+#: Contexts seen less often share their parent's common branch. A fixed count, so that the tree is the same at every size.
+LEAST = 2
+#: The deepest contexts above the shards: at most 2^16.
+TOP = 2
+#: Keys whose subtrees are worked on at once, if they are more than one subtree.
+PIECE = 1 << 18
 #: Ends every text, and stands before it; UTF-8 never has this byte.
 END = 255
 LOG_HALF = np.log(0.5)
@@ -54,6 +64,18 @@ def counted_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams(data)[own[DEPTH:]], return_counts=True)
 
 
+def turned_grams(texts: list[bytes]) -> np.ndarray:
+    """For each byte of each text and its end, in order: the DEPTH bytes before it, the latest highest, and itself lowest."""
+    data, starts = streams(texts)
+    x, n = data.astype(np.uint64), len(data) - DEPTH
+    out = np.zeros(max(n, 0), np.uint64)
+    for i in [*range(DEPTH - 1, -1, -1), DEPTH] if n > 0 else []:
+        out = out << np.uint64(8) | x[i : i + n]
+    own = np.ones(len(data), bool)
+    own[(starts[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
+    return out[own[DEPTH:]]
+
+
 class Counter:
     """Counted grams of any number of texts, merged whenever a bounded number waits."""
 
@@ -105,6 +127,22 @@ def _zeros_ones(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heap[:, 2:512:2], heap[:, 3:512:2]
 
 
+#: Logs of Gamma(n + 1/2) / Gamma(1/2) and of Gamma(n + 1) for small n.
+HALVES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4096) - 0.5))])
+WHOLES = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 4096)))])
+
+
+def _log_kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """`_log_kt` for one level of nodes, small counts from tables."""
+    n = zeros + ones
+    if not (large := n >= len(WHOLES)).any():
+        return HALVES[zeros] + HALVES[ones] - WHOLES[n]
+    out, small = np.empty(len(n)), ~large
+    out[small] = HALVES[zeros[small]] + HALVES[ones[small]] - WHOLES[n[small]]
+    out[large] = _log_kt(zeros[large].astype(float), ones[large].astype(float))
+    return out
+
+
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the KT probability of so many zeros and ones."""
     out = np.zeros(zeros.shape)
@@ -114,6 +152,147 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
+def shorter(keys: np.ndarray) -> np.ndarray:
+    """Keys without the earliest byte of their contexts."""
+    return keys >> np.uint64(16) << np.uint64(8) | keys & np.uint64(255)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start, and each key's run."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(first), np.cumsum(first) - 1
+
+
+class Layers:
+    """The contexts of depths `first` to `last` of sorted distinct keys that hold all data of their contexts of depth `first`.
+
+    Keys with a count of 0 are only asked for. below (level, nodes' contexts and
+    heap places -> logs) and common, of the deepest layer, stand for longer contexts.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, first: int, last: int, common: np.ndarray | None = None, below=None) -> None:
+        self.first, self.last = first, last
+        self.keys, self.counts, self.up, self.common = {last: keys}, {last: counts}, {}, {last: common}
+        self.kept, self.stop, self.logs = {}, {}, []
+        for d in range(last, first - 1, -1):
+            starts, of = _runs(self.keys[d] >> np.uint64(8))
+            self.kept[d] = (np.add.reduceat(self.counts[d], starts) >= LEAST)[of] if d else np.ones(len(of), bool)
+            if d > first:
+                self.keys[d - 1], up = np.unique(shorter(self.keys[d]), return_inverse=True)
+                self.up[d], n = up, len(self.keys[d - 1])
+                self.counts[d - 1] = np.bincount(up, self.counts[d], n).astype(np.int64)
+                self.common[d - 1] = np.bincount(up, self.counts[d] * ~self.kept[d], n).astype(np.int64)
+        for level in range(8):
+            logs = nodes = None
+            for d in range(last, first - 1, -1):
+                starts, of = _runs(self.keys[d] >> np.uint64(8 - level))
+                if d < last:
+                    own = self.kept[d + 1][nodes]
+                    together = np.bincount(of[self.up[d + 1][nodes[own]]], logs[own], len(starts))
+                elif below is not None:
+                    together = below(level, self.keys[d][starts])
+                logs = _log_kt_of(*self._split(self.counts[d], d, level, starts))
+                if d < DEPTH:
+                    together = together + _log_kt_of(*self._split(self.common[d], d, level, starts))
+                    weighted = np.logaddexp(LOG_HALF + logs, LOG_HALF + together)
+                    self.stop[d, level] = np.exp(LOG_HALF + logs - weighted).astype(np.float32)
+                    logs = weighted
+                nodes = starts
+            self.logs.append((nodes, logs))  # of the shortest contexts
+
+    def _split(self, counts: np.ndarray, depth: int, level: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        bit = (self.keys[depth] >> np.uint64(7 - level) & np.uint64(1)).astype(np.int64)
+        ones = np.add.reduceat(counts * bit, starts)
+        return np.add.reduceat(counts, starts) - ones, ones
+
+    def _chance(self, counts: np.ndarray, depth: int, level: int, starts: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Each key's bit by the KT estimate of its node."""
+        zeros, ones = self._split(counts, depth, level, starts)
+        bit = (self.keys[depth] >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
+        return (np.where(bit, ones[of], zeros[of]) + 0.5) / (zeros + ones + 1)[of]
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the tree above needs, with the place: the shorter keys' counts and common counts, and their nodes' logs."""
+        keys, up = np.unique(shorter(self.keys[self.first]), return_inverse=True)
+        kept, counts = self.kept[self.first], self.counts[self.first]
+        places, one, two = [place_of_key(keys)], [np.bincount(up, counts)], [np.bincount(up, counts * ~kept)]
+        for level, (nodes, logs) in enumerate(self.logs):
+            own = kept[nodes]
+            place, of = np.unique(place_of_node(shorter(self.keys[self.first][nodes]), level), return_inverse=True)
+            places.append(place)
+            one.append(np.bincount(of, logs * own, len(place)))
+            two.append(np.zeros(len(place)))
+        return np.concatenate(places), np.concatenate(one), np.concatenate(two)
+
+    def down(self, level: int, fixed: np.ndarray, share: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the deepest keys: their bit's probability is fixed + share * (what longer contexts say), other without any.
+
+        The same three are given for the first layer's keys by what lies above.
+        """
+        for d in range(self.first, self.last + 1):
+            if d > self.first:
+                fixed, share, other = (x[self.up[d]] for x in (fixed, share, other))
+            starts, of = _runs(self.keys[d] >> np.uint64(8 - level))
+            kept, chance = self.kept[d], self._chance(self.counts[d], d, level, starts, of)
+            stop = self.stop[d, level][of] if d < DEPTH else 1.0
+            fixed, share = np.where(kept, fixed + share * stop * chance, other), np.where(kept, share * (1 - stop), 0.0)
+            other = fixed + share * self._chance(self.common[d], d, level, starts, of) if d < DEPTH else fixed
+        return fixed, share, other
+
+
+def place_of_key(keys: np.ndarray) -> np.ndarray:
+    """Of keys of depth TOP, beside `place_of_node`."""
+    return ((keys >> np.uint64(8) << np.uint64(9)) | np.uint64(256) | (keys & np.uint64(255))).astype(np.int64)
+
+
+def place_of_node(keys: np.ndarray, level: int) -> np.ndarray:
+    heap = np.uint64(1 << level) | (keys & np.uint64(255)) >> np.uint64(8 - level)
+    return (keys >> np.uint64(8) << np.uint64(9) | heap).astype(np.int64)
+
+
+@dataclass
+class Top:
+    keys: np.ndarray  # of depth TOP, sorted
+    parts: np.ndarray  # [8, 3, keys]: `down` of each level
+
+
+def top(places: np.ndarray, one: np.ndarray, two: np.ndarray) -> Top:
+    """The tree of depths 0 to TOP from the `sums` of all that lies below, added up by place and sorted."""
+    is_key = (places & 256) > 0
+    of_keys = places[is_key]
+    keys = (of_keys >> 9 << 8 | of_keys & 255).astype(np.uint64)
+    if not len(keys):
+        return Top(keys, np.zeros((8, 3, 0), np.float32))
+    node_places, node_logs = places[~is_key], one[~is_key]
+    tree = Layers(keys, one[is_key].astype(np.int64), 0, TOP, two[is_key].astype(np.int64), lambda level, at: node_logs[np.searchsorted(node_places, place_of_node(at, level))])
+    n = len(tree.keys[0])
+    return Top(keys, np.array([tree.down(level, np.zeros(n), np.ones(n), np.zeros(n)) for level in range(8)], np.float32))
+
+
+def subtrees(keys: np.ndarray, counts: np.ndarray):
+    """Layers of runs of about PIECE sorted distinct keys, whole subtrees each."""
+    starts = np.append(_runs(keys >> np.uint64(8 * (DEPTH - TOP)))[0], len(keys))
+    i = 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE, "right")) - 1)
+        here = slice(starts[i], starts[j])
+        yield Layers(keys[here], counts[here], TOP + 1, DEPTH)
+        i = j
+
+
+def answers(keys: np.ndarray, counts: np.ndarray, above: Top) -> np.ndarray:
+    """log10 probability of each key's byte after its context."""
+    out = [np.zeros(0, np.float16)]
+    for tree in subtrees(keys, counts):
+        at = np.searchsorted(above.keys, shorter(tree.keys[TOP + 1]))
+        total = np.zeros(len(tree.keys[DEPTH]))
+        for level in range(8):
+            total += np.log10(np.maximum(tree.down(level, *above.parts[level][:, at].astype(float))[0], 1e-9))
+        out.append(total.astype(np.float16))
+    return np.concatenate(out)
+
+
 @dataclass
 class Level:
     contexts: np.ndarray  # sorted

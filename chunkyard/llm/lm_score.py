@@ -3,9 +3,11 @@
 Texts are stored once, compressed, in blocks of bounded size. Both models'
 counts are gathered from all training texts: byte contexts with the
 next byte, and words. A block sends its distinct keys with counts, packed and
-sorted, to shards by key; a shard adds up and, for words, sends each block the
-totals of its own words in the block's order. So what moves grows with distinct
-keys of blocks, not with words of documents, and no word meets all its rows.
+sorted, to shards by key; a shard adds up and sends each block the totals of its
+own words, and the probabilities of its own byte strings, in the block's order.
+So what moves grows with distinct keys of blocks, not with words of documents,
+no word meets all its rows, and the tree stays in the shards at any size: only
+contexts of at most two bytes come to the driver.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import context_tree
 from .blocks import by_block, shard_bounds, shard_count, squeeze, steps, stored, texts_of, unsqueeze
-from .frames import lean, remainder, settled, table, text_bytes
+from .frames import lean, partitions, remainder, settled, table, text_bytes
 from .words import word_hashes
 
 #: Bytes of text that the tree works on at once.
@@ -37,48 +40,76 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(keys, dtype=np.uint64), counts.astype(np.int64)
 
 
-def learn_tree(texts: DataFrame, shards: int, n_bytes: int) -> context_tree.Tree:
-    """The context tree of the training texts among `stored` ones.
+def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a key's latest three bytes, so that a shard holds all data of the contexts below them."""
+    return ((keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
 
-    Shards hold all data of a context's last three bytes. What comes to the
-    driver are counts of frequent contexts, at most CONTEXTS of each depth.
-    """
-    least = max(2, math.ceil(n_bytes / context_tree.CONTEXTS))
-    by = np.uint64(shards)
 
-    def gather(batches):
+def dealt_grams(texts: DataFrame, shards: int) -> DataFrame:
+    """block, shard, blob (the block's distinct keys of a shard with their training counts), stored with a shard's rows together."""
+
+    def send(batches):
         for block in by_block(batches):
-            training = block.filter(block.column("training"))
-            if not training.num_rows:
-                continue
-            found = context_tree.Counter()
-            for _, run in texts_of(training.column("packed"), SLICE):
-                found.add(*context_tree.counted_grams(run))
+            training, found = block.column("training").to_pylist(), context_tree.Counter()
+            for start, run in texts_of(block.column("packed"), SLICE):
+                flags = training[start : start + len(run)]
+                for flag in set(flags):
+                    keys, counts = np.unique(context_tree.turned_grams([t for t, f in zip(run, flags, strict=True) if f == flag]), return_counts=True)
+                    found.add(keys, counts * flag)
             keys, counts = found.total()
-            three = keys >> np.uint64(8) & np.uint64(0xFFFFFF)
-            shard = ((three * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % by
-            blobs = [(int(s), _pack(keys[here], counts[here])) for s in np.unique(shard) for here in [shard == s]]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in blobs], pa.int32()), pa.array([b for _, b in blobs], pa.binary())], names=["shard", "blob"])
+            shard = _shards_of(keys, shards)
+            used = np.unique(shard).tolist()
+            blobs = [_pack(keys[here], counts[here]) for s in used for here in [shard == s]]
+            yield pa.RecordBatch.from_arrays([pa.array([block.column("block")[0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "shard", "blob"])
 
-    def add_up(rows: pa.Table) -> pa.Table:
-        found = context_tree.Counter()
-        for blob in rows.column("blob"):
-            found.add(*_unpack(blob.as_py()))
-        keys, counts = found.total()
-        depths, out = [], []
-        for depth in range(2, context_tree.DEPTH + 1):  # shorter contexts are in several shards; their counts follow from depth 2
-            found = context_tree.frequent(keys, counts, depth, least if depth > 2 else 1)
-            depths.append(depth)
-            out.append(found[0].tobytes() + found[1].tobytes())
-        return pa.table({"depth": pa.array(depths, pa.int32()), "counts": pa.array(out, pa.binary())})
-
-    blobs = texts.select("block", "training", "packed").mapInArrow(gather, "shard int, blob binary")
-    levels: dict[int, list] = {d: [] for d in range(context_tree.DEPTH + 1)}
-    for r in blobs.groupBy("shard").applyInArrow(add_up, "depth int, counts binary").toLocalIterator():
-        b = np.frombuffer(bytes(r["counts"]), np.uint64)
-        levels[r["depth"]].append((b[: len(b) // 2], b[len(b) // 2 :].astype(np.int64)))
-    whole = [context_tree.merged(*(np.concatenate(x) for x in zip(*found, strict=True))) if (found := levels[d]) else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for d in range(context_tree.DEPTH + 1)]
-    return context_tree.build([context_tree.frequent(*whole[2], d, least if d else 0) if d <= 2 else whole[d] for d in range(context_tree.DEPTH + 1)])
+    blobs = texts.select("block", "training", "packed").mapInArrow(send, "block long, shard int, blob binary")
+    return settled(blobs.repartition(max(shards, partitions(texts.sparkSession)), "shard").sortWithinPartitions("shard", "block"))
+
+
+def _whole(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    found = context_tree.Counter()
+    for blob in blobs:
+        found.add(*_unpack(blob.as_py()))
+    return found.total()
+
+
+def learn_top(grams: DataFrame) -> context_tree.Top:
+    """The tree of the shortest contexts. What comes to the driver is bounded by the number of three-byte strings."""
+
+    def sums(batches):
+        for shard in by_block(batches, "shard"):
+            for tree in context_tree.subtrees(*_whole(shard.column("blob"))):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in tree.sums()], names=["place", "one", "two"])
+
+    added = grams.mapInArrow(sums, "place long, one double, two double").groupBy("place").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).toPandas().sort_values("place")
+    return context_tree.top(added["place"].to_numpy(np.int64), added["one"].to_numpy(float), added["two"].to_numpy(float))
+
+
+def gram_answers(grams: DataFrame, above: context_tree.Top) -> DataFrame:
+    """block, shard, answers: log10 probabilities of the block's distinct keys of a shard, in order."""
+    shared = grams.sparkSession.sparkContext.broadcast(above)
+
+    def reply(batches):
+        for rows in by_block(batches, "shard"):
+            keys, counts = _whole(rows.column("blob"))
+            logs = context_tree.answers(keys, counts, shared.value)
+            for block, shard, blob in zip(*(rows.column(n) for n in ("block", "shard", "blob")), strict=True):
+                found = squeeze(logs[np.searchsorted(keys, _unpack(blob.as_py())[0])])
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([shard.as_py()], pa.int32()), pa.array([found], pa.binary())], names=["block", "shard", "answers"])
+
+    return grams.mapInArrow(reply, "block long, shard int, answers binary")
+
+
+def _block_scores(packed: pa.ChunkedArray, replies: pa.Table, shards: int) -> np.ndarray:
+    """log10 of each text's probability, its end included, from the shards' answers."""
+    runs = []
+    for _, run in texts_of(packed, SLICE):
+        own, place = np.unique(context_tree.turned_grams(run), return_inverse=True)
+        runs.append((own, place.astype(np.int32), np.cumsum([0, *(len(t) + 1 for t in run[:-1])])))
+    keys = np.unique(np.concatenate([own for own, _, _ in runs]))
+    logs = np.empty(len(keys))
+    logs[np.argsort(_shards_of(keys, shards), kind="stable")] = np.concatenate([unsqueeze(b, np.float16)[0] for b in replies.sort_by("shard").column("blob").to_pylist()])
+    return np.concatenate([np.add.reduceat(logs[np.searchsorted(keys, own)][place], starts) for own, place, starts in runs])
 
 
 def _block_words(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +176,8 @@ def scores(docs: DataFrame) -> DataFrame:
     n_bytes = text_bytes(docs)
     shards = shard_count(n_bytes)
     texts = stored(docs, lower=True)
-    tree = docs.sparkSession.sparkContext.broadcast(learn_tree(texts, shards, text_bytes(docs.where("training"))))
+    grams = dealt_grams(texts, shards)
+    answered = gram_answers(grams, learn_top(grams))
     totals = settled(word_totals(texts, shards))
     known, tokens = totals.agg(F.sum("known"), F.sum("tokens")).first()
     scale = math.log10((tokens or 0) + 0.5 * ((known or 0) + 1))
@@ -153,9 +185,10 @@ def scores(docs: DataFrame) -> DataFrame:
     def score(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table({"doc_id": pa.array([], id_type), "training": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        words = replies.column("words")
         hashes, begins = _block_words(rows.column("packed"))
         _, place = np.unique(hashes, return_inverse=True)
-        total = np.concatenate([unsqueeze(b, np.int64)[0] for b in replies.sort_by("shard").column("totals").to_pylist()])[place]
+        total = np.concatenate([unsqueeze(b, np.int64)[0] for b in replies.filter(words).sort_by("shard").column("blob").to_pylist()])[place]
         n = np.diff(np.append(begins, len(hashes)))
         base = np.add.reduceat(np.log10(total + 0.5), begins) - n * scale
         return pa.table(
@@ -165,13 +198,14 @@ def scores(docs: DataFrame) -> DataFrame:
                 "n_tokens": pa.array(n, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((total > 0).astype(np.int64), begins), pa.int64()),
                 "base_score": pa.array(base),
-                "score": pa.array(np.concatenate([tree.value.score(run) for _, run in texts_of(rows.column("packed"), SLICE)])),
+                "score": pa.array(_block_scores(rows.column("packed"), replies.filter(pc.invert(words)), shards)),
             }
         )
 
     id_name = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.string() if id_name == "string" else pa.int64() if id_name == "bigint" else pa.int32()
-    scored = texts.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, f"doc_id {id_name}, training boolean, n_tokens long, n_known long, base_score double, score double")
+    replies = totals.select("block", "shard", F.col("totals").alias("blob"), F.lit(True).alias("words")).union(answered.select("block", "shard", "answers", F.lit(False)))
+    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {id_name}, training boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(tokens or 0).cast("long"))
 
 

@@ -124,6 +124,33 @@ def test_lm_odd_rows(odd_docs, no_docs, spark):
     assert untrained["base_score"] == pytest.approx(0) and untrained["train_tokens"] == 0
 
 
+def test_lm_keeps_rare_contexts_at_any_size(spark, sf, corpus):
+    """The scores are those of one tree with all contexts that were seen twice, though there are more bytes than 2^18."""
+    texts = {i: brute.raw(t).lower() for i, t in corpus}
+    training = [t for i, t in texts.items() if brute.crc(i) % 5 != 1]
+    assert sum(map(len, training)) > 1 << 18
+    keys, counts = context_tree.counted_grams(training)
+    tree = context_tree.build([context_tree.frequent(keys, counts, d, 2 if d else 0) for d in range(context_tree.DEPTH + 1)])
+    for r in registry.queries()["op1_lm_score"](spark, sf).collect():
+        assert r["score"] == pytest.approx(tree.score([texts[r["doc_id"]]])[0], rel=1e-4)
+
+
+def test_lm_subtrees_of_any_run_are_one_tree(monkeypatch):
+    texts = [b"abracadabra", b"abab", b"cadabra" * 3, "\u00e9t\u00e9 \u65e5\u672c".encode()]
+    asked = [b"", b"abra", b"xq", b"cadabracadab"]
+    keys = np.concatenate([context_tree.turned_grams(texts), context_tree.turned_grams(asked)])
+    keys, counts = context_tree.merged(keys, np.arange(len(keys)) < len(context_tree.turned_grams(texts)))
+    plain = context_tree.counted_grams(texts)
+    tree = context_tree.build([context_tree.frequent(*plain, d, 2 if d else 0) for d in range(context_tree.DEPTH + 1)])
+    for piece in (1, 7, 1 << 18):
+        monkeypatch.setattr(context_tree, "PIECE", piece)
+        places, one, two = (np.concatenate(x) for x in zip(*(t.sums() for t in context_tree.subtrees(keys, counts)), strict=True))
+        place, at = np.unique(places, return_inverse=True)
+        logs = context_tree.answers(keys, counts, context_tree.top(place, np.bincount(at, one), np.bincount(at, two))).astype(float)
+        for text in asked:
+            assert logs[np.searchsorted(keys, context_tree.turned_grams([text]))].sum() == pytest.approx(tree.score([text])[0], abs=0.01)
+
+
 # 2: language ID
 
 
