@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. An n-gram is bound from its
+Each letter of Unicode has a random vector of +1 and -1 of its own; upper and lower case share one. An n-gram is bound from its
 letters' vectors, each rotated by its place, by multiplication; a text is the
 bundle (sum) of its n-grams, and a language the bundle of its training texts.
 A text gets the language whose vector has the largest cosine with its own.
@@ -17,38 +17,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import lean, map_batches, raw, remainder, table
+from .words import BASE, mix
 
 DIMENSIONS = 1024
 SEED = 20_011
-#: Letter slots of 6 bits: 0 is what is between words, 1-26 a to z, the rest are shared by all other letters.
-SLOTS = 64
-GRAMS = SLOTS**3
+#: Bits of a letter in a trigram: any code point fits, so no two letters share a vector.
+BITS = 21
 SLICE = 2 << 20
 COLUMNS = 4096
 UNKNOWN = "und"
 
 
 @lru_cache(1)
-def slots() -> np.ndarray:
-    """The slot of each code point; upper and lower case share one."""
-    out = np.zeros(0x110000, np.uint8)
+def codes() -> np.ndarray:
+    """The letter of each code point: 0 is what is between words, 1-26 a to z, others their own lower-case code point."""
+    out = np.zeros(0x110000, np.int32)
     for cp in range(0x110000):
         if (c := chr(cp)).isalpha():
             low = ord(c.lower()[0])
-            out[cp] = low - 96 if 97 <= low <= 122 else 27 + (low * 2654435761 >> 15) % (SLOTS - 27)
+            out[cp] = low - 96 if 97 <= low <= 122 else low
     return out
 
 
+def vectors_of(letters: np.ndarray) -> np.ndarray:
+    """[letters, DIMENSIONS] of +1 and -1, from a seeded hash of the letter."""
+    words = np.uint64(DIMENSIONS // 64)
+    bits = mix(mix(np.asarray(letters, np.uint64) + np.uint64(SEED << 32))[:, None] + np.arange(words, dtype=np.uint64) * BASE)
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.int8) * np.int8(2) - np.int8(1)
+
+
 @lru_cache(1)
 def letters() -> np.ndarray:
-    return np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (3, SLOTS, DIMENSIONS))[0]
+    """The vectors of what is between words and of a to z."""
+    return vectors_of(np.arange(27))
 
 
 def vectors(grams: np.ndarray) -> np.ndarray:
     """The bound vectors of trigrams, float32."""
-    v = letters()
-    first, second, third = np.roll(v, 2, 1), np.roll(v, 1, 1), v
-    return (first[grams >> 12] * second[grams >> 6 & 63] * third[grams & 63]).astype(np.float32)
+    known, place = np.unique(np.stack([grams >> 2 * BITS, grams >> BITS & (1 << BITS) - 1, grams & (1 << BITS) - 1]), return_inverse=True)
+    v, (first, second, third) = vectors_of(known), place.reshape(3, -1)
+    return (np.roll(v, 2, 1)[first] * np.roll(v, 1, 1)[second] * v[third]).astype(np.float32)
+
+
+def _counted(of: np.ndarray, gram: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and how often they are there (n times each)."""
+    distinct, place = np.unique(gram, return_inverse=True)
+    width = max(len(distinct), 1)
+    if n is None:
+        both, total = np.unique(of * width + place, return_counts=True)
+    else:
+        both, at = np.unique(of * width + place, return_inverse=True)
+        total = np.bincount(at, n, len(both))
+    return both // width, distinct[both % width], total
 
 
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,16 +76,15 @@ def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     decoded = [t.decode("utf-8", "replace") for t in texts]
     lengths = np.array([len(t) + 2 for t in decoded])
     points = np.frombuffer("".join(f" {t} " for t in decoded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    code, of = slots()[points], np.repeat(np.arange(len(texts)), lengths)
+    code, of = codes()[points], np.repeat(np.arange(len(texts)), lengths)
     keep = code > 0
     keep[1:] |= code[:-1] > 0
     starts = np.cumsum(lengths) - lengths
     keep[starts] = True
     code, of = code[keep].astype(np.int64), of[keep]
-    gram = code[:-2] << 12 | code[1:-1] << 6 | code[2:]
+    gram = code[:-2] << 2 * BITS | code[1:-1] << BITS | code[2:]
     inside = (of[:-2] == of[2:]) & (gram > 0)
-    both, n = np.unique(of[:-2][inside] * GRAMS + gram[inside], return_counts=True)
-    return both // GRAMS, both % GRAMS, n
+    return _counted(of[:-2][inside], gram[inside])
 
 
 def bundle(of: np.ndarray, gram: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
@@ -129,8 +148,7 @@ def learn(docs: DataFrame) -> Profiles:
                 known = sorted(set(langs[a:b]))
                 of, gram, n = grams_of(texts[a:b])
                 number = np.array([known.index(lang) for lang in langs[a:b]])
-                both, where = np.unique(number[of] * GRAMS + gram, return_inverse=True)
-                sums = bundle(both // GRAMS, both % GRAMS, np.bincount(where, n, len(both)), len(known))
+                sums = bundle(*_counted(number[of], gram, n), len(known))
                 for lang, v in zip(known, sums, strict=True):
                     total[lang] = total.get(lang, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.list_(pa.float64()))], names=["lang", "v"])

@@ -170,6 +170,15 @@ def test_language_vector_is_the_bundle_of_bound_letters():
     assert (own[0] == want).all() and not own[1].any() and own[2].any()
 
 
+def test_language_letters_share_no_vector():
+    for alphabet in ("abcxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿčšžőűłı", "абвгдежзийклмнопрстуфхцчшщъыьэюяіїєґўџ", "あいうえおかきくけこ日本語中国\U00020000\U00020001"):
+        own = language_id.bundle(*language_id.grams_of([c.encode() for c in alphabet]), len(alphabet))
+        assert len(np.unique(own, axis=0)) == len(alphabet)
+        assert abs((own @ own.T / language_id.DIMENSIONS - np.eye(len(alphabet)))).max() < 0.2
+    upper, lower = (language_id.grams_of([t.encode()]) for t in ("ÑІЖ", "ñіж"))
+    assert all((a == b).all() for a, b in zip(upper, lower, strict=True))
+
+
 def test_language_odd_rows(odd_docs, no_docs):
     profiles = language_id.learn(odd_docs)
     rows = language_id.predict(odd_docs, profiles).collect()
