@@ -1,9 +1,11 @@
 """The pipeline against plain versions of its stages, each on what the stage before kept."""
 
 import brute
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from chunkyard.llm import quality
 
 
 def test_stages(spark, sf, duck):
@@ -42,3 +44,37 @@ def test_run_is_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def _plain_margin(trees, text):
+    """Log-odds of bad quality by a walk from each root, over plainly counted features."""
+    n, chars, symbols, dup, repeated = brute.statistics(text)
+    b = brute.raw(text)
+    lines = sum(bool(x.strip(brute.BLANK)) for x in b.split(b"\n"))
+    some, letters, rows = max(n, 1), max(chars, 1), max(lines, 1)
+    of = lambda chosen: sum(c in chosen for c in b)
+    x = [np.log1p(n), chars / some, symbols / some, dup / rows, repeated / some, len(set(b.split())) / some]
+    x += [of(range(65, 91)) / letters, of(b"0123456789") / letters, of(b"!") / some, of(b".,") / some, n / rows]
+    total = trees.start
+    for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+        total += value[at - len(feature)]
+    return total
+
+
+def test_first_stage_keeps_what_rules_and_trees_keep(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    trees = quality.learn(docs, labels)
+    pass_base, want = set(), set()
+    for r in docs.collect():
+        n, _, _, _, repeated = brute.statistics(r["text"])
+        if n >= 50 and 2 * repeated <= n:
+            pass_base.add(r["doc_id"])
+            if _plain_margin(trees, r["text"]) <= 0:
+                want.add(r["doc_id"])
+    got = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()}
+    assert got == want and want < pass_base  # the trees reject some that the rules let pass
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()} & pass_base
+    assert good and len(good - got) <= 0.05 * len(good)
