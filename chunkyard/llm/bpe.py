@@ -193,6 +193,21 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return coded(lean(encoded, doc_id="doc_id", ids="ids"), over, f"doc_id {_id_type(encoded)}, ids array<int>, decoded string", path)
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids and decoded of every row: `decode` of `encode`, in one worker, so ids go out once."""
+
+    def over(codec: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = [codec.encode(t.decode("utf-8", "replace")) for t in raw(batch.column("text"))]
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(i) for i in ids], out=offsets[1:])
+        flat_ids = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat_ids)), pa.array(map(codec.decode, ids), pa.string())], names=["doc_id", "ids", "decoded"]
+        )
+
+    return coded(lean(docs, doc_id="doc_id", text="text"), over, f"doc_id {_id_type(docs)}, ids array<int>, decoded string", path)
+
+
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     """Digests of each row's ids and of what they decode to; ids stay in the worker that made them."""
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frames import stable
+
 ROOT = str(Path(__file__).resolve().parents[2])
 BLOCK_BYTES = 32 << 20
 
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of an Arrow batch: both ends of a worker's pipe hold a few of them.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def reach(spark: SparkSession) -> None:
@@ -41,16 +42,16 @@ def lean(df: DataFrame, **names: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: rows are stored in the cluster's shared checkpoint folder.
+    """Cuts the lineage: rows are stored in the folder that `spark.checkpoint.dir` names (in local tests, in one of our own)."""
+    return stable(df)
+
 
-    The folder is `spark.checkpoint.dir`; one of our own is set only where the
-    session names none, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="chunkyard-checkpoints-"))
-    return df.checkpoint()
+def free(name: str, *taken: str) -> str:
+    """name, or a longer one that no taken column has in any case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -109,11 +110,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def ascii_lower_sql(column: str) -> str:
-    """SQL that lower-cases A-Z only."""
-    return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 def remainder(column: str | Column, of: int) -> Column:
     """crc32 of the id as text, modulo `of`; null ids count as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

@@ -2,10 +2,13 @@
 
 Line keys are hashed to 128 bits and range-partitioned by (hash, document) with
 documents in falling order, so a key of any number of rows spreads over as many
-partitions as its rows fill. Each sorted partition is streamed once: the first
-document of a key is the one that keeps its lines. Runs that cross a partition
-edge are settled from a summary of a few numbers per partition. What comes back
-is a compressed bitmap per document, never text.
+partitions as its rows fill. A row has a document's line numbers of a key, in
+order, so documents and positions are the secondary sort. Each sorted partition
+is streamed, a batch at a time: the first document of a key is the one that
+keeps its lines. Only the rows of a key's first documents wait, until there are
+enough of them to tell. Runs that cross a partition edge are settled from a
+summary of a few numbers per partition. What comes back is a compressed bitmap
+per document, never text.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import block_count, lean, map_batches, raw, settled, table, text_bytes
+from .frames import block_count, free, lean, map_batches, raw, settled, table, text_bytes
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 20
@@ -69,26 +72,39 @@ def _runs(hi: np.ndarray, lo: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return np.flatnonzero(new_key), np.cumsum(new_key) - 1, new_doc & (doc != NO_ID)
 
 
-def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> tuple[pa.Table, list[np.ndarray]] | None:
-    found = [b for b in batches if b.num_rows]
-    if not found:
-        return None
-    whole = pa.Table.from_batches(found).combine_chunks()
-    return whole, [whole.column(n).to_numpy() for n in names]
+#: Bounds of one key in a partition: documents with an id, the largest and the smallest id.
+Run = tuple[tuple[int, int], int, int, int]
+
+
+def _key_columns(batch: pa.RecordBatch | pa.Table) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy() for n in ("hi", "lo", "doc_id")]
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last key of a partition: documents, the largest and the smallest id."""
-    if (got := _columns(batches, ["hi", "lo", "doc_id"])) is None:
+    """The first and the last key of a partition: documents, the largest and the smallest id. Batches are only looked through."""
+    first: Run | None = None
+    last: Run | None = None
+    more = False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        hi, lo, doc = _key_columns(batch)
+        starts, _, first_of_doc = _runs(hi, lo, doc)
+        ends = np.append(starts[1:], len(hi))
+        for k in sorted({0, len(starts) - 1}):
+            a, b = starts[k], ends[k]
+            run = ((int(hi[a]), int(lo[a])), int(first_of_doc[a:b].sum()), int(doc[a]), int(doc[b - 1]))
+            if last is not None and last[0] == run[0]:  # goes on from the batch before
+                again = run[2] == last[3] and run[2] != NO_ID
+                last = (run[0], last[1] + run[1] - again, last[2], run[3])
+            else:
+                more, last = last is not None, run
+            if first is None or first[0] == last[0]:
+                first = last
+    if first is None or last is None:
         return
-    _, (hi, lo, doc) = got
-    starts, _, first_of_doc = _runs(hi, lo, doc)
-    ends = np.append(starts[1:], len(hi))
     at = TaskContext.get().partitionId()
-    rows = []
-    for k in sorted({0, len(starts) - 1}):
-        a, b = starts[k], ends[k]
-        rows.append((at, k == 0, k == len(starts) - 1, int(hi[a]), int(lo[a]), int(first_of_doc[a:b].sum()), int(doc[a]), int(doc[b - 1])))
+    rows = [(at, True, not more, *first[0], *first[1:])] + ([(at, False, True, *last[0], *last[1:])] if more else [])
     names = ["at", "is_first", "is_last", "hi", "lo", "n", "top", "bottom"]
     kinds = [pa.int32(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5]
     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -113,22 +129,47 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
     spark = docs.sparkSession
     parts = block_count(spark, text_bytes(docs), 128 << 20)
     order = [F.col("hi"), F.col("lo"), F.col("doc_id").desc(), F.col("row_hash")]
-    ranged = settled(line_keys(docs, min_chars).repartitionByRange(parts, *order).sortWithinPartitions(*order))
+    keys = settled(line_keys(docs, min_chars))  # ranging samples its input, which is not to be made twice
+    ranged = settled(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order))
     known = spark.sparkContext.broadcast(
         _across(ranged.select("hi", "lo", "doc_id").mapInArrow(_edges, "at int, is_first boolean, is_last boolean, hi long, lo long, n long, top long, bottom long").collect())
     )  # at most two rows a partition
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (got := _columns(batches, ["hi", "lo", "doc_id"])) is None:
-            return
-        whole, (hi, lo, doc) = got
-        starts, of, first_of_doc = _runs(hi, lo, doc)
-        n, top = np.add.reduceat(first_of_doc.astype(np.int64), starts), doc[starts].copy()
         at = TaskContext.get().partitionId()
-        for k in {0, len(starts) - 1}:
-            n[k], top[k] = known.value[at, int(hi[starts[k]]), int(lo[starts[k]])]
-        gone = (n[of] >= min_documents) & (doc != top[of])
-        yield from whole.select(["doc_id", "row_hash", "lines"]).filter(pa.array(gone)).to_batches()
+        waiting: pa.Table | None = None  # rows of a key of which too few documents were seen to tell
+        told: tuple[tuple[int, int], int] | None = None  # a key that goes on, whose lines go but in one document
+
+        def verdict(rows: pa.Table, is_end: bool) -> tuple[pa.Table, pa.Table | None, tuple[tuple[int, int], int] | None]:
+            hi, lo, doc = _key_columns(rows)
+            starts, of, first_of_doc = _runs(hi, lo, doc)
+            n, top = np.add.reduceat(first_of_doc.astype(np.int64), starts), doc[starts].copy()
+            if told is not None and told[0] == (int(hi[0]), int(lo[0])):
+                n[0], top[0] = min_documents, told[1]
+            for k in {0, len(starts) - 1}:
+                if (across := known.value.get((at, int(hi[starts[k]]), int(lo[starts[k]])))) is not None:
+                    n[k], top[k] = across
+            end, rest = len(hi), None
+            last = ((int(hi[-1]), int(lo[-1])), int(top[-1]))
+            if not is_end and n[-1] < min_documents and (at, *last[0]) not in known.value:
+                end = int(starts[-1])
+                # Of rows that repeat a document's id and text, one tells as much as all.
+                new = np.ones(len(hi) - end, bool)
+                row = rows.column("row_hash").to_numpy()[end:]
+                new[1:] = (doc[end + 1 :] != doc[end:-1]) | (row[1:] != row[:-1])
+                rest = rows.slice(end).filter(pa.array(new))
+            gone = (n[of] >= min_documents) & (doc != top[of])
+            out = rows.slice(0, end).select(["doc_id", "row_hash", "lines"]).filter(pa.array(gone[:end]))
+            return out, rest, last if rest is None and n[-1] >= min_documents else None
+
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rows = (rows if waiting is None else pa.concat_tables([waiting, rows])).combine_chunks()
+                out, waiting, told = verdict(rows, False)
+                yield from out.to_batches()
+        if waiting is not None:
+            yield from verdict(waiting.combine_chunks(), True)[0].to_batches()
 
     return ranged.mapInArrow(drop, "doc_id long, row_hash long, lines array<int>")
 
@@ -156,7 +197,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
             keep.append(zlib.compress(np.packbits(bits).tobytes(), 1))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(keep, pa.binary())], names=["doc_id", "row_hash", "keep"])
 
-    gone = dropped_lines(_named(docs), min_chars, min_documents).groupBy("doc_id", "row_hash").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    gone = dropped_lines(_named(docs), min_chars, min_documents).groupBy("doc_id", "row_hash").agg(F.flatten(F.collect_set("lines")).alias("lines"))
     return map_batches(gone, pack, "doc_id long, row_hash long, keep binary")
 
 
@@ -171,33 +212,39 @@ def apply_bitmap(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
     return n, n - len(out), b"\n".join(out)
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Each row of docs with its bitmap, `keep`, or null; the other columns stay as they are."""
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, name: str = "keep") -> DataFrame:
+    """Each row of docs with its bitmap, as `name`, or null; the other columns stay as they are."""
+    names = docs.columns
+    doc, row = free("b_doc", *names, name), free("b_row", *names, name)
     key = [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), F.xxhash64(docs["text"])]
-    b = bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("row_hash").alias("_b_row"), F.col("keep").alias("_b_keep"))
-    return docs.join(b, (key[0] == b["_b_doc"]) & (key[1] == b["_b_row"]), "left").drop("_b_doc", "_b_row")
+    b = bitmaps.select(F.col("doc_id").alias(doc), F.col("row_hash").alias(row), F.col("keep").alias(name))
+    return docs.join(b, (key[0] == b[doc]) & (key[1] == b[row]), "left").drop(doc, row)
 
 
 def keep_lines(docs: DataFrame, **options) -> DataFrame:
-    """docs with the lines that stay; columns, their order and the number of rows are as before."""
-    kept = with_bitmaps(docs, keep_bitmaps(docs, **options))
+    """docs with the lines that stay; columns, their order and the number of rows are as before.
+
+    Null texts stay null, empty ones empty; see `keep_bitmaps` for null ids and repeated rows.
+    """
     names = docs.columns
+    bitmap = free("keep", *names)
+    kept = with_bitmaps(docs, keep_bitmaps(docs, **options), bitmap)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text, keep = batch.column("text"), batch.column("_b_keep")
+        text, keep = batch.column("text"), batch.column(bitmap)
         if keep.null_count < len(keep):
             out = [t if k is None else apply_bitmap(t, k)[2] for t, k in zip(text.cast(pa.binary()).to_pylist(), keep.to_pylist(), strict=True)]
             text = pa.array(out, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays([text if n == "text" else batch.column(n) for n in names], names=names)
 
-    return map_batches(kept.select(*(F.col(f"`{n}`") for n in [*names, "_b_keep"])), cut, docs.select(*(docs[f"`{n}`"] for n in names)).schema)
+    return map_batches(kept.select(*(F.col(f"`{n}`") for n in [*names, bitmap])), cut, docs.select(*(docs[f"`{n}`"] for n in names)).schema)
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = lean(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [apply_bitmap(t, k) for t, k in zip(raw(batch.column("text")), batch.column("_b_keep").to_pylist(), strict=True)]
+        rows = [apply_bitmap(t, k) for t, k in zip(raw(batch.column("text")), batch.column("keep").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows])],
             names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],

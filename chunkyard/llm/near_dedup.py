@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import flat, lean, map_batches, partitions, pieces, settled, table
+from .frames import flat, free, lean, map_batches, partitions, pieces, settled, table
 from .words import mix, shingles, word_hashes
 
 WORDS = 5
@@ -41,6 +41,8 @@ BLOCK = 256
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 8192
 KEY = 16
+#: Stands for a null id.
+NO_ID = -(1 << 63)
 PAYLOAD = KEY + SKETCH_BITS // 8
 
 
@@ -267,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = settled(signatures(given, words))
     # Repeated rows of a class have the same signature, so any of them will do.
     classes = rows.where("class_key is not null").groupBy("class_key").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "row_hash")).alias("source"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("first_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row_hash")).alias("source"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")
     )
     classes = settled(classes)
     clusters = components(candidate_ties(classes, percent))
@@ -277,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     dealt = sources.join(sizes, "root").select(
         "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("source_id"), F.col("row_hash").alias("source_hash")
     )
-    text = given.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("source_id"), F.col("row_hash").alias("source_hash"), "text")
+    text = given.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("source_id"), F.col("row_hash").alias("source_hash"), "text")
     found = text.join(dealt, ["source_id", "source_hash"])
     # A block meets itself and every other block of its cluster.
     paired = found.select("node", "root", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
@@ -297,9 +299,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that are kept, with all their columns; of rows that repeat both id and text, one stays."""
     names = docs.columns
-    found = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_n_id"), F.col("row_hash").alias("_n_hash")).distinct()
-    keyed = docs.select(*(docs[f"`{n}`"] for n in names), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("_n_id"), F.xxhash64(docs["text"]).alias("_n_hash"))
-    return keyed.join(found, ["_n_id", "_n_hash"]).dropDuplicates(["_n_id", "_n_hash"]).select(*(F.col(f"`{n}`") for n in names))
+    node, row = free("n_id", *names), free("n_hash", *names)
+    found = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(node), F.col("row_hash").alias(row)).distinct()
+    keyed = docs.select(*(docs[f"`{n}`"] for n in names), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias(node), F.xxhash64(docs["text"]).alias(row))
+    return keyed.join(found, [node, row]).dropDuplicates([node, row]).select(*(F.col(f"`{n}`") for n in names))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
