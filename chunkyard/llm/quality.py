@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import flat, lean, map_batches, raw, table
+from .frames import flat, lean, map_batches, table
+from .words import BLANKS, SLICE, row_hashes, runs
 
 #: Labelled rows that are learned from: those with the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -29,44 +30,55 @@ CLASSES = np.stack(
         *(np.isin(np.arange(256), list(chars)) for chars in (b"#*$%&|<>", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b".,")),
     ]
 )
+LINE_ENDS = np.arange(256) == 10
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeated", "distinct", "capitals", "digits", "exclamations", "stops", "words_a_line")
 #: The score (bad quality) may only rise with these.
 RISING = ("symbols", "dup_lines", "repeated", "exclamations")
 
 
-def _repeats(words: list[bytes]) -> int:
-    """Words in three-word windows that are found twice or more."""
-    n = len(words) - 2
-    if n < 2:
+def _repeats(words: np.ndarray) -> int:
+    """Words (by their hashes) in three-word windows that are found twice or more."""
+    windows = row_hashes(words, 3)
+    if len(windows) < 2:
         return 0
-    windows = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(windows)) == n:
+    order = np.sort(windows)
+    twice = order[1:][order[1:] == order[:-1]]
+    if not len(twice):
         return 0
-    first: dict[tuple, int] = {}
-    hit = bytearray(n + 2)
-    for i, w in enumerate(windows):
-        j = first.setdefault(w, i)
-        if j != i:
-            hit[j : j + 3] = b"\1\1\1"
-            hit[i : i + 3] = b"\1\1\1"
-    return sum(hit)
+    hit, at = np.zeros(len(words), bool), np.flatnonzero(np.isin(windows, twice))
+    for i in range(3):
+        hit[at + i] = True
+    return int(hit.sum())
+
+
+def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """[CLASSES, texts]: bytes of each class, a slice of the data at a time."""
+    out = np.zeros((len(CLASSES), len(offsets) - 1), np.int64)
+    total = np.zeros(SLICE + 1, np.int32)
+    for a in range(0, len(data), SLICE):
+        part = data[a : a + SLICE]
+        at = np.clip(offsets - a, 0, len(part))
+        for of, counted in zip(CLASSES, out, strict=True):
+            np.cumsum(of[part], out=total[1 : len(part) + 1])
+            counted += np.diff(total[at])
+    return out
 
 
 def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """BASE (int64) and FEATURES (float64) of each text; null counts as empty."""
+    """BASE (int64) and FEATURES (float64) of each text; null counts as empty. Words and lines are told apart by 64-bit hashes."""
     data, offsets = flat(column)
-    counts = []
-    for of in CLASSES:
-        total = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(of[data], out=total[1:])
-        counts.append(np.diff(total[offsets]))
-    word_chars, symbols, capitals, digits, exclamations, stops = counts
+    word_chars, symbols, capitals, digits, exclamations, stops = _counts(data, offsets)
+    words, starts, _ = runs(data, offsets, BLANKS, False)
+    at = np.searchsorted(starts, offsets)
+    own_lines, line_starts, _ = runs(data, offsets, LINE_ENDS, False)
+    has_word = np.diff(np.append(np.searchsorted(starts, line_starts), len(starts))) > 0
+    own_lines, line_starts = own_lines[has_word], line_starts[has_word]
+    line_at = np.searchsorted(line_starts, offsets)
     rows = []
-    for text in raw(column):
-        words = text.split()
-        lines = [line for line in text.split(b"\n") if line and not line.isspace()]
-        rows.append((len(words), len(lines), len(lines) - len(set(lines)), _repeats(words), len(set(words))))
+    for a, b, c, d in zip(at, at[1:], line_at, line_at[1:], strict=False):
+        w, lines = words[a:b], own_lines[c:d]
+        rows.append((b - a, d - c, d - c - _distinct(lines), _repeats(w), _distinct(w)))
     n, lines, dup, repeated, distinct = np.array(rows, np.int64).reshape(-1, 5).T
     base = np.stack([n, word_chars, symbols, dup, repeated], axis=1)
     some, chars = np.maximum(n, 1), np.maximum(word_chars, 1)
@@ -76,6 +88,13 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return base, features
 
 
+def _distinct(x: np.ndarray) -> int:
+    if len(x) < 2:
+        return len(x)
+    x = np.sort(x)
+    return 1 + int(np.count_nonzero(x[1:] != x[:-1]))
+
+
 def base_failed(base: np.ndarray) -> np.ndarray:
     return (base[:, 0] < MIN_WORDS) | (100 * base[:, 4] > MAX_REPEAT_PERCENT * base[:, 0])
 
