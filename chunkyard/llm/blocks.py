@@ -14,6 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .frames import pieces, raw, settled
 
@@ -49,8 +50,8 @@ def stored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, lower: bool = False)
                 arrays = [*(batch.column(n) for n in names), pa.array(blocks, pa.int64()), pa.array(rows, pa.int32()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, "block", "row", "packed"])
 
-    fields = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
-    return settled(docs.mapInArrow(pack, ", ".join([*fields, "block long", "row int", "packed binary"])))
+    schema = StructType([*(docs.schema[n] for n in names), StructField("block", LongType()), StructField("row", IntegerType()), StructField("packed", BinaryType())])
+    return settled(docs.mapInArrow(pack, schema))
 
 
 def by_block(batches: Iterator[pa.RecordBatch], key: str = "block") -> Iterator[pa.Table]:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..frames import stable
 
@@ -74,7 +75,7 @@ def pieces(batch: pa.RecordBatch, size: int = 1 << 20) -> Iterator[pa.RecordBatc
         yield batch.slice(start, rows)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = 1 << 20) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, size: int = 1 << 20) -> DataFrame:
     """f over every row, in batches of about `size` bytes."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,10 +7,14 @@
    has about as many ones as the samples differ. Inside a bucket, classes are
    joined as far as their sketches allow the wanted similarity (within
    `SIGMAS` deviations), and each is tied to the least one: as many rows as
-   members, never all pairs.
-3. Ties make candidate clusters. A cluster's texts meet again, in blocks of
-   bounded size, and the sizes of all intersections in a block pair are one
-   matrix product over their full sets. Links that hold make the components.
+   members, never all pairs. Ties make candidate clusters.
+3. Each class is compared with the least class that it is tied to, on their full
+   sets. Links that hold make components; most clusters are one component then,
+   and nothing more is compared in them.
+4. In other clusters, classes of different components meet in blocks bounded in
+   classes and in shingles. A large component has blocks of its own, which are
+   not compared with each other. The sizes of all intersections in a pair of
+   blocks are one matrix product over full sets.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from .blocks import stored, texts_of
 from .components import components
-from .frames import flat, free, lean, map_batches, partitions, pieces, settled, table
+from .frames import block_count, flat, lean, map_batches, settled, table, text_bytes
 from .words import mix, shingles, word_hashes
 
 WORDS = 5
@@ -36,8 +42,13 @@ SKETCH_BITS = 256
 SIGMAS = 5
 #: Classes of a bucket that meet in one block; larger buckets are compared by pairs of blocks.
 BUCKET = 8192
-#: Classes of a cluster that meet in one block.
+#: Classes of a cluster that meet in one block, and shingles; a longer text is a block of its own.
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 19
+#: Classes that are compared with one copy of the text they are tied to.
+STAR = 1024
+#: Bytes of text for a partition of what is shuffled.
+PART_BYTES = 64 << 20
 #: Shingles whose columns are multiplied at once.
 COLUMNS = 8192
 KEY = 16
@@ -105,34 +116,38 @@ def groups_of(near: Callable[[np.ndarray, np.ndarray], np.ndarray], n: int) -> l
     return out
 
 
-def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, row_hash, n_shingles, class_key (of the full set; null if empty), buckets and sketch (both binary)."""
+def _sets(packed: pa.Array | pa.ChunkedArray, words: int) -> Iterator[np.ndarray]:
+    """The shingle set of each stored text; one of bounded runs of texts is unpacked at a time."""
+    for _, run in texts_of(packed):
+        offsets = np.cumsum([0, *(len(t) for t in run)])
+        hashes, at = word_hashes(np.frombuffer(b"".join(run), np.uint8), offsets)
+        yield from (shingles(hashes[a:b], words) for a, b in zip(at, at[1:], strict=False))
+
+
+ROW = "doc_id long, row_hash long, block long, row int"
+
+
+def signatures(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, row_hash, block, row, n_shingles, class_key (of the full set; null if empty), buckets and sketch (both binary) of stored texts."""
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = flat(batch.column("text"))
-        hashes, at = word_hashes(data, offsets)
-        sets = [shingles(hashes[a:b], words) for a, b in zip(at, at[1:], strict=False)]
-        sampled = np.array([samples(s) for s in sets]).reshape(-1, SAMPLES)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("row_hash"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([b.tobytes() for b in bands(sampled)], pa.binary()),
-                pa.array([b.tobytes() for b in odd_sketches(sampled)], pa.binary()),
-            ],
-            names=["doc_id", "row_hash", "n_shingles", "class_key", "buckets", "sketch"],
-        )
-
-    return map_batches(docs, over, "doc_id long, row_hash long, n_shingles long, class_key binary, buckets binary, sketch binary")
+        sizes, keys, sampled = [], [], []
+        for s in _sets(batch.column("packed"), words):
+            sizes.append(len(s))
+            keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            sampled.append(samples(s))
+        sampled = np.array(sampled).reshape(-1, SAMPLES)
+        own = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array([b.tobytes() for b in bands(sampled)], pa.binary()), pa.array([b.tobytes() for b in odd_sketches(sampled)], pa.binary())]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "row_hash", "block", "row")), *own], names=["doc_id", "row_hash", "block", "row", "n_shingles", "class_key", "buckets", "sketch"])
+
+    return map_batches(texts.select("doc_id", "row_hash", "block", "row", "packed"), over, f"{ROW}, n_shingles long, class_key binary, buckets binary, sketch binary")
 
 
 def _fixed(column: pa.Array, width: int) -> np.ndarray:
     return flat(column)[0].reshape(-1, width)
 
 
-def candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
+def candidate_ties(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     """a, b: classes of a bucket that may be similar, each tied to the least of those it reaches there."""
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -166,7 +181,7 @@ def candidate_ties(classes: DataFrame, percent: int) -> DataFrame:
         blocked = blocked.withColumn("block", F.pmod(F.xxhash64("payload"), F.col("blocks")).cast("int"))
         paired = blocked.select("bucket", "payload", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         dealt = paired.select("bucket", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "payload")
-    ties = dealt.repartition(partitions(classes.sparkSession), *key).sortWithinPartitions(*key, "payload").mapInArrow(tie, "a binary, b binary")
+    ties = dealt.repartition(parts, *key).sortWithinPartitions(*key, "payload").mapInArrow(tie, "a binary, b binary")
     return ties.distinct()
 
 
@@ -223,87 +238,152 @@ def _similar(sets: list[np.ndarray], percent: int, near_at: int) -> list[np.ndar
     return groups_of(lambda x, y: link[np.ix_(x, y)], len(sets))
 
 
-def confirmed_links(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b from class_key, text, cluster, block, other: a group is a block alone (block = other) or two blocks of a cluster."""
-    key = ["cluster", "first", "second"]
+def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(x), pa.binary()) for x in zip(*pairs, strict=True)], names=["a", "b"])
+
+
+def star_links(ties: DataFrame, sources: DataFrame, texts: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """The ties (a, b) that hold on full sets. b's text is read once for each STAR of its ties."""
+    degree = ties.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("chunks"))
+    members = ties.join(degree, "b").select("b", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int").alias("chunk"), F.col("a").alias("node"), F.lit(1).alias("side"))
+    centres = members.select("b", "chunk").distinct().select("b", "chunk", F.col("b").alias("node"), F.lit(0).alias("side"))
+    wanted = members.unionByName(centres).join(sources, "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found = []
+            for b, chunk, node, s in zip(*(batch.column(n).to_pylist() for n in ("b", "chunk", "node")), _sets(batch.column("packed"), words), strict=True):
+                if (b, chunk) != now:
+                    now, centre = (b, chunk), s  # a star begins with its centre
+                    continue
+                both = len(np.intersect1d(centre, s, assume_unique=True))
+                if 100 * both >= percent * (len(centre) + len(s) - both):
+                    found.append((node, b))
+            if found:
+                yield _links(found)
+
+    met = texts.select("block", "row", "packed").join(wanted, ["block", "row"]).select("b", "chunk", "side", "node", "packed")
+    return met.repartition(parts, "b", "chunk").sortWithinPartitions("b", "chunk", "side").mapInArrow(compare, "a binary, b binary")
+
+
+def block_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of classes (node, cluster, part, n_shingles), part being the component so far: those of clusters with several parts, with own and
+    block; and the pairs of blocks that may hold links between parts, as (cluster, first_own, first, second_own, second).
+
+    Parts of over BLOCK classes have blocks of their own (own is the part); others share blocks (own is empty).
+    """
+    sizes = settled(members.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")))
+    several = sizes.groupBy("cluster").agg(F.count("*").alias("parts")).where("parts > 1").select("cluster")
+    blocks_of = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    is_big = F.col("n") > BLOCK
+    left = settled(sizes.join(several, "cluster").withColumn("own", F.when(is_big, F.col("part")).otherwise(F.lit(b""))))
+    counts = left.groupBy("cluster", "own").agg(blocks_of(F.sum("n"), F.sum("w")).alias("blocks"))
+    dealt = members.join(left.select("cluster", "part", "own"), ["cluster", "part"]).join(counts, ["cluster", "own"])
+    placed = settled(dealt.select("node", "cluster", "own", F.pmod(F.xxhash64(F.when(F.length("own") > 0, F.col("node")).otherwise(F.col("part"))), F.col("blocks")).cast("int").alias("block")))
+    blocks = settled(placed.select("cluster", "own", "block").distinct())
+    p = blocks.select("cluster", F.col("own").alias("first_own"), F.col("block").alias("first"))
+    q = blocks.select("cluster", F.col("own").alias("second_own"), F.col("block").alias("second"))
+    ordered = F.struct("first_own", "first") <= F.struct("second_own", "second")
+    same_part = (F.col("first_own") == F.col("second_own")) & (F.length("first_own") > 0)
+    return placed, p.join(q, "cluster").where(ordered & ~same_part)
+
+
+def block_links(placed: DataFrame, pairs: DataFrame, sources: DataFrame, texts: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
+    """a, b: links on full sets inside the pairs of blocks; as many as join what is linked, not all."""
+    key = ["cluster", "first_own", "first", "second_own", "second"]
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, sets, split = None, [], [], 0
 
         def done() -> Iterator[pa.RecordBatch]:
             if len(sets) > 1:
-                groups = [g for g in _similar(sets, percent, split) if len(g) > 1]
-                a = [keys[i] for g in groups for i in g[1:]]
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array([keys[g[0]] for g in groups for _ in g[1:]], pa.binary())], names=["a", "b"])
-
-        for whole in batches:
-            for batch in pieces(whole):
-                hashes, at = word_hashes(*flat(batch.column("text")))
-                rows = zip(*(batch.column(n).to_pylist() for n in (*key, "block", "class_key")), strict=True)
-                for i, (*group, block, class_key) in enumerate(rows):
-                    if group != now:
-                        yield from done()
-                        now, keys, sets, split = group, [], [], 0
-                    if block == group[2] != group[1] and not split:
-                        split = len(sets)
-                    keys.append(class_key)
-                    sets.append(shingles(hashes[at[i] : at[i + 1]], words))
-        yield from done()
+                found = [(keys[i], keys[g[0]]) for g in _similar(sets, percent, split) for i in g[1:]]
+                if found:
+                    yield _links(found)
 
-    dealt = texts.repartition(partitions(texts.sparkSession), *key).sortWithinPartitions(*key, "block", "class_key")
-    return dealt.mapInArrow(confirm, "a binary, b binary")
+        for batch in batches:
+            rows = zip(*(batch.column(n).to_pylist() for n in (*key, "side", "node")), _sets(batch.column("packed"), words), strict=True)
+            for *group, side, node, s in rows:
+                if group != now:
+                    yield from done()
+                    now, keys, sets, split = group, [], [], 0
+                if side == 1 and not split:
+                    split = len(sets)
+                keys.append(node)
+                sets.append(s)
+        yield from done()
 
+    found = texts.select(F.col("block").alias("at"), "row", "packed").join(placed.join(sources.withColumnRenamed("block", "at"), "node"), ["at", "row"])
+    either = pairs.select("*", F.explode(F.when(F.struct("first_own", "first") == F.struct("second_own", "second"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
+    ends = either.withColumn("own", F.when(F.col("side") == 0, F.col("first_own")).otherwise(F.col("second_own"))).withColumn("block", F.when(F.col("side") == 0, F.col("first")).otherwise(F.col("second")))
+    met = found.join(ends, ["cluster", "own", "block"]).select(*key, "side", "node", "packed")
+    return met.repartition(parts, *key).sortWithinPartitions(*key, "side").mapInArrow(confirm, "a binary, b binary")
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, row_hash, n_shingles, component_id, kept for every row of docs.
 
-    Rows are linked if 100 * intersection >= percent * union of their sets of
-    distinct shingles of `words` words (A-Z lower-cased); with fewer words the
-    whole sequence is the one shingle. Null, empty and blank texts have empty
-    sets, are linked with nothing and are kept. component_id is the smallest
-    doc_id that links reach (null ids only if there is no other); kept: doc_id
-    equals it. Repeated rows stay. Other columns are ignored.
-    """
-    given = lean(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    rows = settled(signatures(given, words))
-    # Repeated rows of a class have the same signature, so any of them will do.
+def _components(texts: DataFrame, n_bytes: int, words: int, percent: int) -> DataFrame:
+    """doc_id, row_hash, block, row, n_shingles, component_id, kept for every stored text (doc_id, row_hash, block, row, packed)."""
+    spark = texts.sparkSession
+    parts = block_count(spark, n_bytes, PART_BYTES)
+    rows = settled(signatures(texts, words))
+    # Rows of a class have the same signature, so any of them will do.
     classes = rows.where("class_key is not null").groupBy("class_key").agg(
-        F.min("doc_id").alias("first_id"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "row_hash")).alias("source"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("first_id"), F.min(F.struct("block", "row")).alias("source"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"), F.first("sketch").alias("sketch")
     )
     classes = settled(classes)
-    clusters = components(candidate_ties(classes, percent))
-    sources = clusters.join(classes.select(F.col("class_key").alias("node"), "source"), "node").select("node", "root", "source.id", "source.row_hash")
-    sources = settled(sources)
-    sizes = sources.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = sources.join(sizes, "root").select(
-        "node", "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("id").alias("source_id"), F.col("row_hash").alias("source_hash")
-    )
-    text = given.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("source_id"), F.col("row_hash").alias("source_hash"), "text")
-    found = text.join(dealt, ["source_id", "source_hash"])
-    # A block meets itself and every other block of its cluster.
-    paired = found.select("node", "root", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        F.col("node").alias("class_key"), F.col("root").alias("cluster"), F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "text"
-    )
-    linked = components(confirmed_links(paired, words, percent))
+    sources = classes.select(F.col("class_key").alias("node"), "source.block", "source.row")
+    ties = settled(candidate_ties(classes, percent, parts))
+    clusters = settled(components(ties))
+    least = ties.groupBy("a").agg(F.min("b").alias("b"))
+    links = settled(star_links(least, sources, texts, words, percent, parts))
+    now = components(links)
+    sized = clusters.select("node", F.col("root").alias("cluster")).join(classes.select(F.col("class_key").alias("node"), "n_shingles"), "node")
+    members = settled(sized.join(now.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")))
+    placed, pairs = block_pairs(members)
+    linked = components(links.unionByName(block_links(placed, pairs, sources, texts, words, percent, parts)))
     named = linked.join(classes.select(F.col("class_key").alias("node"), "first_id"), "node")
     roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = classes.select("class_key", "first_id").join(linked.join(roots, "root").select(F.col("node").alias("class_key"), "component_id"), "class_key", "left")
     # Stored, so that the join with all rows is dealt by itself and a class with very many copies can be split.
     ids = settled(ids.select("class_key", F.coalesce("component_id", "first_id").alias("component_id")))
-    out = rows.select("doc_id", "row_hash", "n_shingles", "class_key").join(ids, "class_key", "left")
+    out = rows.select("doc_id", "row_hash", "block", "row", "n_shingles", "class_key").join(ids, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "row_hash", "block", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs.
+
+    Rows are linked if 100 * intersection >= percent * union of their sets of
+    distinct shingles of `words` words (A-Z lower-cased); with fewer words the
+    whole sequence is the one shingle. Null, empty and blank texts have empty
+    sets, are linked with nothing and are kept. component_id is the smallest
+    doc_id that links reach (null ids only if there is no other); kept: doc_id
+    equals it. Repeated rows stay, and any number of them is one class. Texts
+    are taken whole. Other columns are ignored. No rows give no rows.
+    """
+    given = lean(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row_hash"), "text")
+    return _components(stored(given), text_bytes(given), words, percent).drop("row_hash", "block", "row")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that are kept, with all their columns; of rows that repeat both id and text, one stays."""
+    """The rows of docs that are kept, with all their columns, whatever their names; of rows that repeat both id and text, one stays."""
     names = docs.columns
-    node, row = free("n_id", *names), free("n_hash", *names)
-    found = near_duplicates(docs, words, percent).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(node), F.col("row_hash").alias(row)).distinct()
-    keyed = docs.select(*(docs[f"`{n}`"] for n in names), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias(node), F.xxhash64(docs["text"]).alias(row))
-    return keyed.join(found, [node, row]).dropDuplicates([node, row]).select(*(F.col(f"`{n}`") for n in names))
+    others = F.struct(*(docs[f"`{n}`"] for n in names if n != "text"))
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("row_hash"), others.alias("others"), docs["text"].isNull().alias("no_text"), docs["text"].alias("text"))
+    texts = stored(given)
+    found = _components(texts, text_bytes(given), words, percent).where("kept")
+    chosen = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)), "row_hash").agg(F.min(F.struct("block", "row")).alias("one")).select("one.block", "one.row")
+
+    def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [t for _, run in texts_of(batch.column("packed")) for t in run]
+        text = [None if no else t for t, no in zip(out, batch.column("no_text").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("others"), pa.array(text, pa.binary()).cast(pa.string())], names=["others", "text"])
+
+    kept = texts.select("block", "row", "others", "no_text", "packed").join(chosen, ["block", "row"]).select("others", "no_text", "packed")
+    whole = map_batches(kept, unpack, StructType([StructField("others", given.schema["others"].dataType), StructField("text", StringType())]), 1 << 18)
+    return whole.select(*(F.col("text") if n == "text" else F.col(f"others.`{n}`").alias(n) for n in names))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2).drop("row_hash")
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
