@@ -1,183 +1,254 @@
-"""Benchmark decontamination: a prefix-filtered join of documents with item windows.
+"""Benchmark decontamination: a prefix-filtered set join of documents with item windows.
 
 A window is `width` consecutive words of an item, or the whole of a shorter
-item. Exact containment needs every word of a window, so one necessary prefix
-token is enough: its rarest word by frequency in the documents. A document
-word that equals a prefix token proposes one start, by the token's place in the
-window (positional bound); windows that would begin before or end after the
-document are dropped (length bound); what is left is compared word by word.
-
-Items are taken in blocks of a stated number of bytes. Each block's index is
-broadcast for a pass of its own, with the rows stored between passes; so a
-benchmark of any size is joined exactly, with bounded memory.
+item; its tokens are its shingles of three words (of all its words, if it has
+fewer). Shingles are ordered by how often they occur in the documents. All of a
+window's shingles must be in a document that holds it, so one necessary prefix
+token is enough: the rarest. Documents and windows are joined by that token. A
+token's place in the window and in the document gives the one place where the
+window may begin (positional bound), which must be inside the document with all
+its words (length bound); there the words are compared, all of them, in a
+context as large as a window.
+
+Documents are read twice, however many items there are: to count shingles and
+to give out those that are prefix tokens. Both passes look shingles up in a
+filter of bounded size first, so only few that are none are sent. Windows,
+their counts and prefixes are tables, never collected; of a token that very many
+documents hold, the join is split where Spark finds it skewed.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter, defaultdict
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import lean, map_batches, raw, settled, table
+from .frames import flat, free, lean, pieces, raw, settled, table
+from .words import LOWER, row_hashes, runs
 
 WIDTH = 10
-#: Bytes of item text in one block; its index takes some 40 times as much.
-BLOCK = 4 << 20
-
-#: A-Z to a-z; ASCII that is no letter or digit to a space; all else as it is.
-WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased."""
-    return text.translate(WORDS).split()
-
-
-def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple]]:
-    """Item ids and texts in blocks; one item of more than `limit` bytes is a block of its own."""
-    block, size = [], 0
-    for item_id, text in items.toLocalIterator():
-        n = len((text or "").encode())
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        block.append((item_id, text))
-        size += n
-    yield block
-
-
-class Index:
-    """Windows of a block of items by their rarest word."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], set], frequency: dict[bytes, int]) -> None:
-        self.by_token: dict[bytes, list[tuple[int, tuple[bytes, ...], frozenset]]] = defaultdict(list)
-        for window, items in windows.items():
-            rarest = min(window, key=lambda w: (frequency.get(w, 0), w))
-            self.by_token[rarest].append((window.index(rarest), window, frozenset(items)))
-        self.tokens = frozenset(self.by_token)
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray | None, set]:
-        """Which words are inside an occurrence of a window, and the items with one."""
-        if self.tokens.isdisjoint(words):
-            return None, set()
-        n, hit, items = len(words), None, set()
-        for at in [i for i, w in enumerate(words) if w in self.tokens]:
-            for offset, window, of in self.by_token[words[at]]:
-                start = at - offset
-                if start >= 0 and start + len(window) <= n and tuple(words[start : start + len(window)]) == window:
-                    hit = np.zeros(n, bool) if hit is None else hit
-                    hit[start : start + len(window)] = True
-                    items |= of
-        return hit, items
-
-
-def windows_of(items: list[tuple], width: int = WIDTH) -> dict[tuple[bytes, ...], set]:
-    """Windows with the ids, as text, of the items that have them; a null id has the id `null`."""
-    found: dict[tuple[bytes, ...], set] = defaultdict(set)
-    for item_id, text in items:
-        words = words_of((text or "").encode())
-        for i in range(max(1, len(words) - width + 1) if words else 0):
-            found[tuple(words[i : i + width])].add("null" if item_id is None else str(item_id))
-    return found
-
-
-def _frequencies(docs: DataFrame, vocabulary: frozenset) -> dict[bytes, int]:
-    """In how many documents each word of a block of items occurs."""
-    wanted = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def count(batches):
-        total: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in raw(batch.column("text")):
-                total.update(wanted.value.intersection(words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+#: Words of a token.
+SHINGLE = 3
+#: Bits of the filter for each token, and how many bits (a power of two) it has at least and at most: 32 MB.
+BITS_A_TOKEN = 256
+LEAST_BITS, MOST_BITS = 16, 28
+#: Rows, and distinct tokens, that wait in a task at most.
+WAITING = 1 << 16
+
+#: ASCII that is no letter or digit is between words.
+BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+@dataclass(frozen=True)
+class Filter:
+    """Which tokens there may be: two bits of each are set. No token that is there is ever missed."""
+
+    power: int
+    bits: bytes  # compressed
+
+    def unpacked(self) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(self.bits), np.uint8)
+
+
+def _places(tokens: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    return tokens >> np.uint64(64 - power), tokens & np.uint64((1 << power) - 1)
+
+
+def _may_hold(bits: np.ndarray, power: int, tokens: np.ndarray) -> np.ndarray:
+    out = np.ones(len(tokens), bool)
+    for at in _places(tokens, power):
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
 
-    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(w): n for w, n in counted.toLocalIterator()}  # at most the block's words
+def filter_of(tokens: DataFrame, n: int) -> Filter:
+    """The filter of a column `token` of n rows; what comes to the driver is a bounded bitmap for each of a few tasks, one at a time."""
+    power = min(max((n * BITS_A_TOKEN).bit_length(), LEAST_BITS), MOST_BITS)
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << power - 3, np.uint8)
+        for batch in batches:
+            for at in _places(batch.column("token").to_numpy().view(np.uint64), power):
+                np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+    whole = np.zeros(1 << power - 3, np.uint8)
+    for row in tokens.select("token").coalesce(8).mapInArrow(mark, "bits binary").toLocalIterator():
+        whole |= np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+    return Filter(power, zlib.compress(whole.tobytes(), 1))
 
-def _indexes(docs: DataFrame, items: DataFrame, width: int, block: int) -> Iterator[Broadcast]:
-    for part in _blocks(lean(items, item_id="item_id", text="text"), block):
-        windows = windows_of(part, width)
-        words = frozenset(w for window in windows for w in window)
-        yield docs.sparkSession.sparkContext.broadcast(Index(windows, _frequencies(docs, words) if words else {}))
 
+def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """item_id (as text, null: `null`), window (its words, a blank between), n (words), tokens (its shingles in order), for every place in every item."""
 
-def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, hits (bitmap of hit words, null if none), items (ids as text, sorted).
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in zip(batch.column("item_id").to_pylist(), raw(batch.column("text")), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                hashes, starts, ends = runs(data, np.array([0, len(data)]), BREAKS, True)
+                if not len(hashes):
+                    continue
+                n, k = min(width, len(hashes)), min(width, len(hashes), SHINGLE)
+                tokens, low = row_hashes(hashes, k).view(np.int64), LOWER[data].tobytes()
+                words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                places = len(hashes) - n + 1
+                for a in range(0, places, WAITING):
+                    here = range(a, min(a + WAITING, places))
+                    each = tokens[np.arange(here.start, here.stop)[:, None] + np.arange(n - k + 1)].ravel()
+                    offsets = np.arange(len(here) + 1, dtype=np.int32) * np.int32(n - k + 1)
+                    window = pa.array([b" ".join(words[i : i + n]) for i in here], pa.binary()).cast(pa.string())
+                    columns = [pa.array(["null" if item_id is None else item_id] * len(here), pa.string()), window, pa.array([n] * len(here), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(each))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["item_id", "window", "n", "tokens"])
+
+    given = lean(items, item_id="item_id", text="text").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    return given.mapInArrow(over, "item_id string, window string, n int, tokens array<long>")
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each size of shingle: tokens, and the word and the text that each begins at; then once, with size 0, words' starts, ends and bounds."""
+    hashes, starts, ends = runs(data, offsets, BREAKS, True)
+    bounds = np.searchsorted(starts, offsets)
+    text_of = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
+    for k in sizes:
+        found = row_hashes(hashes, k)
+        inside = text_of[: len(found)] == text_of[k - 1 :] if len(found) else np.zeros(0, bool)
+        at = np.flatnonzero(inside)
+        yield k, found[at], at, text_of[at]
+    yield 0, starts, ends, bounds
+
+
+def occurrences(docs: DataFrame, given: Filter, sizes: list[int]) -> DataFrame:
+    """token, n: how often the shingles that the filter may hold occur in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(given)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, waiting, n = shared.value.unpacked(), [], 0
+
+        def out() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts, pa.int64())], names=["token", "n"])
+
+        for whole in batches:
+            for batch in pieces(whole):
+                for k, tokens, *_ in _tokens(*flat(batch.column("text")), sizes):
+                    if k:
+                        waiting.append(tokens[_may_hold(bits, shared.value.power, tokens)])
+                        n += len(waiting[-1])
+                if n > WAITING:
+                    yield out()
+                    waiting, n = [], 0
+        if n:
+            yield out()
+
+    return docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def candidates(docs: DataFrame, given: Filter, sizes: list[int], width: int = WIDTH) -> DataFrame:
+    """Of docs (doc_id, mark, text), a row with n_words for each, numbered by id; and one for each shingle that the filter may hold:
+    token, at (the word where it begins), before (words of context before it) and context (its words and those around it). Stored.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(given)
+    names = ["doc_id", "mark", "id", "n_words", "token", "at", "before", "context"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, first = shared.value.unpacked(), TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for batch in pieces(whole):
+                data, offsets = flat(batch.column("text"))
+                *found, (_, starts, ends, bounds) = _tokens(data, offsets, sizes)
+                doc, mark = batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist()
+                counts = np.diff(bounds).tolist()
+                rows = [(d, m, first + i, n, None, None, None, None) for i, (d, m, n) in enumerate(zip(doc, mark, counts, strict=True))]
+                for k, tokens, word, text in found:
+                    hit = np.flatnonzero(_may_hold(bits, shared.value.power, tokens))
+                    for token, w, t in zip(tokens[hit].view(np.int64).tolist(), word[hit].tolist(), text[hit].tolist(), strict=True):
+                        a, b = max(int(bounds[t]), w - width + k), min(int(bounds[t + 1]), w + width)
+                        context = b" ".join(LOWER[data[starts[i] : ends[i]]].tobytes() for i in range(a, b))
+                        rows.append((doc[t], mark[t], first + t, None, token, w - int(bounds[t]), w - a, context.decode()))
+                        if len(rows) >= WAITING:
+                            yield rows_of(rows)
+                            rows = []
+                if rows:
+                    yield rows_of(rows)
+                first += batch.num_rows
+
+    return settled(docs.select("doc_id", "mark", "text").mapInArrow(look, "doc_id long, mark long, id long, n_words long, token long, at long, before int, context string"))
+
+
+def prefixes(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """token, offset, n, window: the rarest shingle of each distinct window whose shingles all occur, stored."""
+    each = windows.select("window", "n", F.posexplode("tokens").alias("offset", "token"))
+    total = windows.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
+    often = settled(occurrences(docs, filter_of(each, total), sizes))
+    rarest = each.join(often.withColumnRenamed("n", "often"), "token", "left").groupBy("window", "n").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token", "offset")).alias("p"))
+    return settled(rarest.where("p.often > 0").select("p.token", "p.offset", "n", "window"))
+
+
+def occurring(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (doc_id, mark, text): all rows (doc_id, mark, id, n_words); places of windows (id, mark, start, n, window); and the
+    items (window, item_id) that have them."""
+    made = settled(item_windows(items, width))
+    windows = settled(made.dropDuplicates(["window"]).select("window", "n", "tokens"))
+    sizes = sorted(r[0] for r in windows.select(F.least("n", F.lit(SHINGLE))).distinct().collect())  # 1 to SHINGLE
+    prefix = prefixes(docs, windows, sizes)
+    n = prefix.count()
+    seen = candidates(docs, filter_of(prefix, n), sizes if n else [], width)
+    met = seen.where("token is not null").select("id", "mark", "token", "at", "before", "context").join(prefix, "token")
+    words = F.slice(F.split("context", " "), F.col("before") - F.col("offset") + 1, F.col("n"))
+    holds = met.where("before >= offset").where((F.size(words) == F.col("n")) & (F.array_join(words, " ") == F.col("window")))
+    places = settled(holds.select("id", "mark", (F.col("at") - F.col("offset")).alias("start"), "n", "window"))
+    return seen.where("token is null").select("doc_id", "mark", "id", "n_words"), places, made.select("window", "item_id").distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_words, n_hit (words inside an occurrence of a window), spans (first word and words of each occurrence), items (ids as text, sorted).
 
     One row for each row of docs; other columns are ignored. Null and empty
     texts have no words and no hits; items without words have no window. Items
-    with equal windows are all found. No items: no hits.
+    with equal windows are all found. Repeated rows each have their row. Texts
+    are taken whole. No items: no hits. No rows give no rows.
     """
-    given = lean(docs, doc_id="doc_id", text="text")
-    out = given.select("doc_id", "text", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    schema = "doc_id long, text string, n_words long, hits binary, items array<string>"
-    for k, index in enumerate(_indexes(given, items, width, block)):
-        out = settled(out) if k else out
-
-        def join(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            n_words, hits, items = [], [], []
-            for text, was, had in zip(raw(batch.column("text")), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                hit, found = index.value.find(words := words_of(text))
-                n_words.append(len(words))
-                bits = None if hit is None else np.packbits(hit)
-                if bits is not None and was is not None:
-                    bits |= np.frombuffer(was, np.uint8)
-                hits.append(was if bits is None else bits.tobytes())
-                items.append(sorted({*had, *found}) if found else had)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "hits", "items"],
-            )
-
-        out = map_batches(out, join, schema)
-    return out.select("doc_id", "n_words", "hits", "items")
-
-
-def n_hit(hits: bytes | None) -> int:
-    return 0 if hits is None else int(np.unpackbits(np.frombuffer(hits, np.uint8)).sum())
-
-
-def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """The rows of docs without a hit, whole and with all their columns."""
-    names = docs.columns
-    out = docs
-    for k, index in enumerate(_indexes(lean(docs, text="text"), items, width, block)):
-        out = settled(out) if k else out
-
-        def clean(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            return batch.filter(pa.array([not index.value.find(words_of(t))[1] for t in raw(batch.column("text"))], pa.bool_()))
-
-        out = map_batches(out, clean, docs.select(*(docs[f"`{n}`"] for n in names)).schema)
-    return out
+    given = lean(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("mark"), "text")
+    rows, places, owners = occurring(given, items, width)
+    spans = places.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "n"))).alias("spans"))
+    found = places.select("id", "window").distinct().join(owners, "window").groupBy("id").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total"))
+
+    def more(so_far, span):
+        end = F.greatest(so_far["end"], span["start"] + span["n"])
+        return F.struct(end.alias("end"), (so_far["total"] + end - F.greatest(so_far["end"], F.least(span["start"], end))).alias("total"))
+
+    n_hit = F.coalesce(F.aggregate("spans", zero, more, lambda x: x["total"]), F.lit(0).cast("long"))
+    out = rows.join(spans, "id", "left").join(found, "id", "left")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("spans", F.array().cast("array<struct<start:bigint,n:int>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The rows of docs without a hit, whole and with all their columns, whatever their names.
+
+    A text's rows stay or go together, by a 64-bit hash of the text. See `contamination` for odd rows.
+    """
+    given = lean(docs, text="text").select(F.lit(0).cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    _, places, _ = occurring(given, items, width)
+    mark = free("mark", *docs.columns)
+    gone = settled(places.select(F.col("mark").alias(mark)).distinct())
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone[mark], "left_anti")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hits = [n_hit(h) for h in batch.column("hits").to_pylist()]
-        items = batch.column("items").to_pylist()
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("n_words"),
-                pa.array(hits, pa.int64()),
-                pa.array([len(i) for i in items], pa.int64()),
-                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]),
-                pa.array([h > 0 for h in hits], pa.bool_()),
-            ],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
-
-    return map_batches(found, digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    ids = F.array_join("items", ",").cast("binary")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 _SPLIT = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

@@ -284,16 +284,29 @@ def _items(spark):
     return spark.createDataFrame([(1, passage), (2, None), (3, ""), (None, "Same WORDS, in two"), (4, "x"), (5, passage), (6, "...")], "item_id long, text string")
 
 
-@pytest.mark.parametrize("block", [1, 1 << 20])
-def test_decontamination_odd_rows(spark, odd_docs, no_docs, block):
-    found = decontaminate.contamination(odd_docs, _items(spark), block=block)
-    got = bag((r["doc_id"], r["n_words"], decontaminate.n_hit(r["hits"]), len(r["items"]), brute.sha(",".join(r["items"]).encode()), r["hits"] is not None) for r in found.collect())
+def _contaminated(found):
+    return bag((r["doc_id"], r["n_words"], r["n_hit"], len(r["items"]), brute.sha(",".join(r["items"]).encode()), r["n_hit"] > 0) for r in found.collect())
+
+
+@pytest.mark.parametrize("bits", [28, 3])  # a filter that holds nearly everything changes nothing
+def test_decontamination_odd_rows(spark, odd_docs, no_docs, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+    got = _contaminated(decontaminate.contamination(odd_docs, _items(spark)))
     assert got == bag(brute.decontaminate(pairs(odd_docs), [(r["item_id"], r["text"]) for r in _items(spark).collect()]))
-    clean = decontaminate.clean_documents(odd_docs, _items(spark), block=block)
-    assert clean.columns == odd_docs.columns and clean.count() == sum(not r[-1] for r in got)
+    clean = decontaminate.clean_documents(odd_docs.withColumn("mark", F.lit(1)), _items(spark))
+    assert clean.columns == [*odd_docs.columns, "mark"] and clean.count() == sum(not r[-1] for r in got)
     assert decontaminate.contamination(no_docs, _items(spark)).count() == 0
     none = decontaminate.contamination(odd_docs, _items(spark).limit(0)).collect()
-    assert len(none) == odd_docs.count() and all(r["hits"] is None for r in none)
+    assert len(none) == odd_docs.count() and all(r["n_hit"] == 0 and r["spans"] == [] for r in none)
+
+
+def test_decontamination_of_overlapping_windows_and_common_words(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice("ab")
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(0, 60)))) for i in range(60)]
+    items = [(i, " ".join(word() for _ in range(rng.randrange(0, 14)))) for i in range(30)]
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert _contaminated(found) == bag(brute.decontaminate(docs, items))
 
 
 # 6: BPE
@@ -467,6 +480,30 @@ def test_near_duplicates_odd_rows(odd_docs, no_docs):
     assert near_dedup.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_of_chains_and_many_small_parts(spark, monkeypatch):
+    """Links that hold only between neighbours, so that stars find few of them and blocks have to find the rest."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "STAR", 3)
+    words, rows = [f"w{i}" for i in range(400)], []
+    for i in range(60):
+        rows.append((i, " ".join(words[2 * i : 2 * i + 40])))
+    rows += [(100 + i, " ".join(words[200 + 9 * i : 200 + 9 * i + 60])) for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df, words=2)
+    assert tuples(got, "doc_id", "n_shingles", "component_id") == bag(brute.near(rows, 2))
+
+
+def test_near_duplicates_of_very_many_repeated_rows(spark):
+    """100,000 rows of one text without an id, and near copies of it: one class, and texts that are compared are read once."""
+    base = [f"w{i}" for i in range(40)]
+    text, near, other = (" ".join(x) for x in (base, [*base[:-1], "x"], [f"y{i}" for i in range(40)]))
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(5, near), (6, near), (9, other)], "doc_id long, text string"))
+    got = near_dedup.near_duplicates(rows, words=2).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert bag(tuple(r) for r in got) == bag([(None, 5, False, 100_000), (5, 5, True, 1), (6, 5, False, 1), (9, 9, True, 1)])
+    assert near_dedup.one_of_each(rows.withColumn("block", F.lit("b")), words=2).select("doc_id", "block").collect() == [(5, "b"), (9, "b")]
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 2000, dtype=np.uint64)
