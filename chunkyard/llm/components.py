@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 
 from .frames import settled
 
+#: Links for a task, at least; a round stores as many files as it has tasks.
+ROWS_A_TASK = 4096
 
-def _large_star(links: DataFrame) -> DataFrame:
+
+def _large_star(links: DataFrame, tasks: int) -> DataFrame:
     """Links (a, b), b < a: every larger neighbour of a node is linked to the node's least neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Stored, so that the join's sides are dealt apart from the sums and a node with very many links can be split.
-    least = settled(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")))
+    least = settled(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")).coalesce(tasks))
     return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, tasks: int) -> DataFrame:
     """Links (a, b), b < a: a and its smaller neighbours are linked to the least of them."""
-    least = settled(links.groupBy("a").agg(F.min("b").alias("least")))
+    least = settled(links.groupBy("a").agg(F.min("b").alias("least")).coalesce(tasks))
     moved = links.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b")))
 
@@ -39,7 +42,7 @@ def components(links: DataFrame) -> DataFrame:
         size = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if size == seen:
             break
-        seen = size
-        now = settled(_small_star(settled(_large_star(now).distinct())).distinct())
+        seen, tasks = size, 1 + size[0] // ROWS_A_TASK
+        now = settled(_small_star(settled(_large_star(now.coalesce(tasks), tasks).distinct().coalesce(tasks)), tasks).distinct().coalesce(tasks))
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

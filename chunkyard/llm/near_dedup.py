@@ -268,22 +268,19 @@ def star_links(ties: DataFrame, sources: DataFrame, texts: DataFrame, words: int
 
 
 def block_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of classes (node, cluster, part, n_shingles), part being the component so far: those of clusters with several parts, with own and
-    block; and the pairs of blocks that may hold links between parts, as (cluster, first_own, first, second_own, second).
+    """Of classes (node, cluster, part, n_shingles), part being the component so far: each with own and block; and the pairs of
+    blocks that may hold links between parts, as (cluster, first_own, first, second_own, second).
 
     Parts of over BLOCK classes have blocks of their own (own is the part); others share blocks (own is empty).
     """
-    sizes = settled(members.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")))
-    several = sizes.groupBy("cluster").agg(F.count("*").alias("parts")).where("parts > 1").select("cluster")
-    blocks_of = lambda n, w: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
-    is_big = F.col("n") > BLOCK
-    left = settled(sizes.join(several, "cluster").withColumn("own", F.when(is_big, F.col("part")).otherwise(F.lit(b""))))
-    counts = left.groupBy("cluster", "own").agg(blocks_of(F.sum("n"), F.sum("w")).alias("blocks"))
-    dealt = members.join(left.select("cluster", "part", "own"), ["cluster", "part"]).join(counts, ["cluster", "own"])
+    sizes = settled(members.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).withColumn("own", F.when(F.col("n") > BLOCK, F.col("part")).otherwise(F.lit(b""))))
+    blocks = F.greatest(F.lit(1), F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("w") / BLOCK_SHINGLES)).cast("int")
+    counts = sizes.groupBy("cluster", "own").agg(blocks.alias("blocks"))
+    dealt = members.join(sizes.select("cluster", "part", "own"), ["cluster", "part"]).join(counts, ["cluster", "own"])
     placed = settled(dealt.select("node", "cluster", "own", F.pmod(F.xxhash64(F.when(F.length("own") > 0, F.col("node")).otherwise(F.col("part"))), F.col("blocks")).cast("int").alias("block")))
-    blocks = settled(placed.select("cluster", "own", "block").distinct())
-    p = blocks.select("cluster", F.col("own").alias("first_own"), F.col("block").alias("first"))
-    q = blocks.select("cluster", F.col("own").alias("second_own"), F.col("block").alias("second"))
+    used = settled(placed.select("cluster", "own", "block").distinct())
+    p = used.select("cluster", F.col("own").alias("first_own"), F.col("block").alias("first"))
+    q = used.select("cluster", F.col("own").alias("second_own"), F.col("block").alias("second"))
     ordered = F.struct("first_own", "first") <= F.struct("second_own", "second")
     same_part = (F.col("first_own") == F.col("second_own")) & (F.length("first_own") > 0)
     return placed, p.join(q, "cluster").where(ordered & ~same_part)
@@ -333,19 +330,22 @@ def _components(texts: DataFrame, n_bytes: int, words: int, percent: int) -> Dat
     classes = settled(classes)
     sources = classes.select(F.col("class_key").alias("node"), "source.block", "source.row")
     ties = settled(candidate_ties(classes, percent, parts))
-    clusters = settled(components(ties))
     least = ties.groupBy("a").agg(F.min("b").alias("b"))
-    links = settled(star_links(least, sources, texts, words, percent, parts))
-    now = components(links)
-    sized = clusters.select("node", F.col("root").alias("cluster")).join(classes.select(F.col("class_key").alias("node"), "n_shingles"), "node")
-    members = settled(sized.join(now.select("node", F.col("root").alias("part")), "node", "left").withColumn("part", F.coalesce("part", "node")))
-    placed, pairs = block_pairs(members)
-    linked = components(links.unionByName(block_links(placed, pairs, sources, texts, words, percent, parts)))
-    named = linked.join(classes.select(F.col("class_key").alias("node"), "first_id"), "node")
-    roots = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = classes.select("class_key", "first_id").join(linked.join(roots, "root").select(F.col("node").alias("class_key"), "component_id"), "class_key", "left")
+    now = settled(components(settled(star_links(least, sources, texts, words, percent, parts))))
+    part_of = lambda frame, name, to: frame.join(now.select(F.col("node").alias(name), F.col("root").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
+    between = settled(part_of(part_of(ties, "a", "x"), "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    parts_of = part_of(classes.select(F.col("class_key").alias("node"), "first_id", "n_shingles"), "node", "part")
+    if not between.isEmpty():  # ties that did not hold, or were not looked at, between components
+        clusters = components(between).select(F.col("node").alias("part"), F.col("root").alias("cluster"))
+        placed, pairs = block_pairs(settled(parts_of.join(clusters, "part").select("node", "cluster", "part", "n_shingles")))
+        found = block_links(placed, pairs, sources, texts, words, percent, parts)
+        joined = part_of(part_of(found, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        whole = components(settled(joined)).select(F.col("node").alias("part"), "root")
+        parts_of = parts_of.join(whole, "part", "left").withColumn("part", F.coalesce("root", "part"))
+    parts_of = settled(parts_of.select(F.col("node").alias("class_key"), "part", "first_id"))
+    roots = parts_of.groupBy("part").agg(F.min("first_id").alias("component_id"))
     # Stored, so that the join with all rows is dealt by itself and a class with very many copies can be split.
-    ids = settled(ids.select("class_key", F.coalesce("component_id", "first_id").alias("component_id")))
+    ids = settled(parts_of.join(roots, "part").select("class_key", "component_id"))
     out = rows.select("doc_id", "row_hash", "block", "row", "n_shingles", "class_key").join(ids, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_hash", "block", "row", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
