@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import settled
+from .frames import settled, unsized
 
 #: Links for a task, at least; a round stores as many files as it has tasks.
 ROWS_A_TASK = 4096
@@ -36,13 +36,14 @@ def components(links: DataFrame) -> DataFrame:
 
     links: columns a and b of one orderable type, in any order, repeated or equal.
     """
-    now = settled(links.where("a != b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = unsized(settled(links.where("a != b and a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()))
     seen = None
     while True:
         size = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if size == seen:
             break
         seen, tasks = size, 1 + size[0] // ROWS_A_TASK
-        now = settled(_small_star(settled(_large_star(now.coalesce(tasks), tasks).distinct().coalesce(tasks)), tasks).distinct().coalesce(tasks))
+        now = settled(_large_star(now.coalesce(tasks), tasks).distinct().coalesce(tasks))
+        now = unsized(settled(_small_star(unsized(now), tasks).distinct().coalesce(tasks)))
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())

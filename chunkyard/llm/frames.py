@@ -47,6 +47,16 @@ def settled(df: DataFrame) -> DataFrame:
     return stable(df)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A stored table of which Spark does not know an estimated size.
+
+    Stored tables keep the estimate of the plan that made them, and a join's is the product of its sides'. In a
+    loop with a join the number has several times the digits after each round, until planning takes minutes.
+    """
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), session)
+
+
 def free(name: str, *taken: str) -> str:
     """name, or a longer one that no taken column has in any case."""
     used = {t.lower() for t in taken}
