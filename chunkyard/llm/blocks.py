@@ -24,7 +24,7 @@ ROW_BYTES = 64
 #: Blocks that the numbering leaves room for in one task.
 BLOCKS_A_TASK = 1 << 20
 SLICE = 1 << 20
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 LEAST_SHARDS = 8
 
 

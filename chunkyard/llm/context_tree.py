@@ -20,6 +20,7 @@ what lies above them is a tree of its own that needs only their sums (`top`).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,16 +65,37 @@ def counted_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(grams(data)[own[DEPTH:]], return_counts=True)
 
 
-def turned_grams(texts: list[bytes]) -> np.ndarray:
-    """For each byte of each text and its end, in order: the DEPTH bytes before it, the latest highest, and itself lowest."""
-    data, starts = streams(texts)
+def _turned(data: np.ndarray) -> np.ndarray:
+    """For each byte from DEPTH on: the DEPTH bytes before it, the latest highest, and itself lowest."""
     x, n = data.astype(np.uint64), len(data) - DEPTH
     out = np.zeros(max(n, 0), np.uint64)
     for i in [*range(DEPTH - 1, -1, -1), DEPTH] if n > 0 else []:
         out = out << np.uint64(8) | x[i : i + n]
+    return out
+
+
+def turned_grams(texts: list[bytes]) -> np.ndarray:
+    """For each byte of each text and its end, in order: the DEPTH bytes before it, the latest highest, and itself lowest."""
+    data, starts = streams(texts)
     own = np.ones(len(data), bool)
     own[(starts[:, None] - 1 - np.arange(DEPTH)).ravel()] = False
-    return out[own[DEPTH:]]
+    return _turned(data)[own[DEPTH:]]
+
+
+def gram_runs(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """`turned_grams` of texts, with the number of the first text and where each one's begin; a text of more than `size` bytes alone, in slices."""
+    small: list[bytes] = []
+    for i, text in enumerate([*texts, None]):
+        if small and (text is None or len(text) > size):
+            yield turned_grams(small), i - len(small), np.cumsum([0, *(len(t) + 1 for t in small[:-1])])
+            small = []
+        if text is not None and len(text) > size:
+            for a in range(0, len(text) + 1, size):
+                part = text[max(a - DEPTH, 0) : a + size]
+                whole = bytes([END]) * max(DEPTH - a, 0) + part + (bytes([END]) if a + size > len(text) else b"")
+                yield _turned(np.frombuffer(whole, np.uint8)), i, np.zeros(1, np.int64)
+        elif text is not None:
+            small.append(text)
 
 
 class Counter:
@@ -270,27 +292,29 @@ def top(places: np.ndarray, one: np.ndarray, two: np.ndarray) -> Top:
     return Top(keys, np.array([tree.down(level, np.zeros(n), np.ones(n), np.zeros(n)) for level in range(8)], np.float32))
 
 
-def subtrees(keys: np.ndarray, counts: np.ndarray):
-    """Layers of runs of about PIECE sorted distinct keys, whole subtrees each."""
+def pieces(keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct keys in runs of about PIECE, each of whole subtrees."""
     starts = np.append(_runs(keys >> np.uint64(8 * (DEPTH - TOP)))[0], len(keys))
     i = 0
     while i < len(starts) - 1:
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE, "right")) - 1)
         here = slice(starts[i], starts[j])
-        yield Layers(keys[here], counts[here], TOP + 1, DEPTH)
+        yield keys[here], counts[here]
         i = j
 
 
+def subtree(keys: np.ndarray, counts: np.ndarray) -> Layers:
+    return Layers(keys, counts, TOP + 1, DEPTH)
+
+
 def answers(keys: np.ndarray, counts: np.ndarray, above: Top) -> np.ndarray:
-    """log10 probability of each key's byte after its context."""
-    out = [np.zeros(0, np.float16)]
-    for tree in subtrees(keys, counts):
-        at = np.searchsorted(above.keys, shorter(tree.keys[TOP + 1]))
-        total = np.zeros(len(tree.keys[DEPTH]))
-        for level in range(8):
-            total += np.log10(np.maximum(tree.down(level, *above.parts[level][:, at].astype(float))[0], 1e-9))
-        out.append(total.astype(np.float16))
-    return np.concatenate(out)
+    """log10 probability of each key's byte after its context; keys are whole subtrees."""
+    tree = subtree(keys, counts)
+    at = np.searchsorted(above.keys, shorter(tree.keys[TOP + 1]))
+    total = np.zeros(len(tree.keys[DEPTH]))
+    for level in range(8):
+        total += np.log10(np.maximum(tree.down(level, *above.parts[level][:, at].astype(float))[0], 1e-9))
+    return total.astype(np.float32)
 
 
 @dataclass

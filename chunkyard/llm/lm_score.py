@@ -7,7 +7,8 @@ sorted, to shards by key; a shard adds up and sends each block the totals of its
 own words, and the probabilities of its own byte strings, in the block's order.
 So what moves grows with distinct keys of blocks, not with words of documents,
 no word meets all its rows, and the tree stays in the shards at any size: only
-contexts of at most two bytes come to the driver.
+contexts of at most two bytes come to the driver. Of a shard's blocks one is in
+memory at a time; what stays is its distinct keys.
 """
 
 from __future__ import annotations
@@ -54,8 +55,9 @@ def dealt_grams(texts: DataFrame, shards: int) -> DataFrame:
             for start, run in texts_of(block.column("packed"), SLICE):
                 flags = training[start : start + len(run)]
                 for flag in set(flags):
-                    keys, counts = np.unique(context_tree.turned_grams([t for t, f in zip(run, flags, strict=True) if f == flag]), return_counts=True)
-                    found.add(keys, counts * flag)
+                    for own, _, _ in context_tree.gram_runs([t for t, f in zip(run, flags, strict=True) if f == flag], SLICE):
+                        keys, counts = np.unique(own, return_counts=True)
+                        found.add(keys, counts * flag)
             keys, counts = found.total()
             shard = _shards_of(keys, shards)
             used = np.unique(shard).tolist()
@@ -66,50 +68,80 @@ def dealt_grams(texts: DataFrame, shards: int) -> DataFrame:
     return settled(blobs.repartition(max(shards, partitions(texts.sparkSession)), "shard").sortWithinPartitions("shard", "block"))
 
 
-def _whole(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    found = context_tree.Counter()
-    for blob in blobs:
-        found.add(*_unpack(blob.as_py()))
-    return found.total()
+def added_up(grams: DataFrame) -> DataFrame:
+    """shard, piece, blob: a shard's distinct keys with all their counts, in pieces of whole subtrees. Blocks are added one by one. Stored."""
 
+    def add(batches):
+        shard, found = None, context_tree.Counter()
 
-def learn_top(grams: DataFrame) -> context_tree.Top:
+        def out():
+            for i, (keys, counts) in enumerate(context_tree.pieces(*found.total())):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([i], pa.int32()), pa.array([_pack(keys, counts)], pa.binary())], names=["shard", "piece", "blob"])
+
+        for batch in batches:
+            for s, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if s != shard:
+                    yield from out()
+                    shard, found = s, context_tree.Counter()
+                found.add(*_unpack(blob))
+        yield from out()
+
+    return settled(grams.select("shard", "blob").mapInArrow(add, "shard int, piece int, blob binary"))
+
+
+def learn_top(totals: DataFrame) -> context_tree.Top:
     """The tree of the shortest contexts. What comes to the driver is bounded by the number of three-byte strings."""
 
     def sums(batches):
-        for shard in by_block(batches, "shard"):
-            for tree in context_tree.subtrees(*_whole(shard.column("blob"))):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in tree.sums()], names=["place", "one", "two"])
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in context_tree.subtree(*_unpack(blob)).sums()], names=["place", "one", "two"])
 
-    added = grams.mapInArrow(sums, "place long, one double, two double").groupBy("place").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).toPandas().sort_values("place")
+    added = totals.select("blob").mapInArrow(sums, "place long, one double, two double").groupBy("place").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).toPandas().sort_values("place")
     return context_tree.top(added["place"].to_numpy(np.int64), added["one"].to_numpy(float), added["two"].to_numpy(float))
 
 
-def gram_answers(grams: DataFrame, above: context_tree.Top) -> DataFrame:
-    """block, shard, answers: log10 probabilities of the block's distinct keys of a shard, in order."""
+def gram_answers(grams: DataFrame, totals: DataFrame, above: context_tree.Top, parts: int) -> DataFrame:
+    """block, shard, answers: log10 probabilities of the block's distinct keys of a shard, in order.
+
+    A shard's pieces come first and stay; then its blocks pass, one at a time.
+    """
     shared = grams.sparkSession.sparkContext.broadcast(above)
 
     def reply(batches):
-        for rows in by_block(batches, "shard"):
-            keys, counts = _whole(rows.column("blob"))
-            logs = context_tree.answers(keys, counts, shared.value)
-            for block, shard, blob in zip(*(rows.column(n) for n in ("block", "shard", "blob")), strict=True):
-                found = squeeze(logs[np.searchsorted(keys, _unpack(blob.as_py())[0])])
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), pa.array([shard.as_py()], pa.int32()), pa.array([found], pa.binary())], names=["block", "shard", "answers"])
-
-    return grams.mapInArrow(reply, "block long, shard int, answers binary")
+        shard, known, keys, logs = None, [], None, None
+        for batch in batches:
+            for s, block, blob in zip(*(batch.column(n).to_pylist() for n in ("shard", "block", "blob")), strict=True):
+                if s != shard:
+                    shard, known, keys = s, [], None
+                own, counts = _unpack(blob)
+                if block is None:
+                    known.append((own, context_tree.answers(own, counts, shared.value)))
+                    continue
+                if keys is None:
+                    keys, logs = (np.concatenate(x) for x in zip(*known, strict=True))
+                    known = []
+                found = squeeze(logs[np.searchsorted(keys, own)])
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([s], pa.int32()), pa.array([found], pa.binary())], names=["block", "shard", "answers"])
+
+    both = totals.select("shard", "piece", F.lit(None).cast("long").alias("block"), "blob").unionByName(grams.select("shard", F.lit(None).cast("int").alias("piece"), "block", "blob"))
+    dealt = both.repartition(parts, "shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first(), "piece")
+    return dealt.select("shard", "block", "blob").mapInArrow(reply, "block long, shard int, answers binary")
 
 
 def _block_scores(packed: pa.ChunkedArray, replies: pa.Table, shards: int) -> np.ndarray:
     """log10 of each text's probability, its end included, from the shards' answers."""
-    runs = []
-    for _, run in texts_of(packed, SLICE):
-        own, place = np.unique(context_tree.turned_grams(run), return_inverse=True)
-        runs.append((own, place.astype(np.int32), np.cumsum([0, *(len(t) + 1 for t in run[:-1])])))
-    keys = np.unique(np.concatenate([own for own, _, _ in runs]))
+    runs, scores = [], np.zeros(len(packed))
+    for first, run in texts_of(packed, SLICE):
+        for grams, i, starts in context_tree.gram_runs(run, SLICE):
+            own, place = np.unique(grams, return_inverse=True)
+            runs.append((own, place.astype(np.int32), first + i, starts))
+    keys = np.unique(np.concatenate([own for own, *_ in runs]))
     logs = np.empty(len(keys))
-    logs[np.argsort(_shards_of(keys, shards), kind="stable")] = np.concatenate([unsqueeze(b, np.float16)[0] for b in replies.sort_by("shard").column("blob").to_pylist()])
-    return np.concatenate([np.add.reduceat(logs[np.searchsorted(keys, own)][place], starts) for own, place, starts in runs])
+    logs[np.argsort(_shards_of(keys, shards), kind="stable")] = np.concatenate([unsqueeze(b, np.float32)[0] for b in replies.sort_by("shard").column("blob").to_pylist()])
+    for own, place, first, starts in runs:
+        scores[first : first + len(starts)] += np.add.reduceat(logs[np.searchsorted(keys, own)][place], starts)
+    return scores
 
 
 def _block_words(packed: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,34 +195,37 @@ def word_totals(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """doc_id, training, n_tokens, n_known, train_tokens, base_score, score for every row of (doc_id, training, text).
+    """doc_id, training, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of (doc_id, training, text).
 
     The models learn from rows whose `training` is true. score is the context
-    tree's log10 probability of the text with A-Z lower-cased and its end, so
-    -score / log10(2) / bytes is its code length per byte. Null texts are
+    tree's log10 probability of the text with A-Z lower-cased and its end;
+    bits_per_byte, its code length per byte, the end counted as one. Null texts are
     empty: their end is their only token. Repeated rows count as often as they
     are there. Without training rows every byte is equally likely and the base
     is 0 per token. No rows give no rows.
     """
-    docs = docs.select("doc_id", F.coalesce("training", F.lit(False)).alias("training"), "text")
+    docs = docs.select("doc_id", F.coalesce("training", F.lit(False)).alias("training"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     n_bytes = text_bytes(docs)
     shards = shard_count(n_bytes)
     texts = stored(docs, lower=True)
+    parts = max(shards, partitions(docs.sparkSession))
     grams = dealt_grams(texts, shards)
-    answered = gram_answers(grams, learn_top(grams))
+    sums = added_up(grams)
+    answered = gram_answers(grams, sums, learn_top(sums), parts)
     totals = settled(word_totals(texts, shards))
     known, tokens = totals.agg(F.sum("known"), F.sum("tokens")).first()
     scale = math.log10((tokens or 0) + 0.5 * ((known or 0) + 1))
 
     def score(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table({"doc_id": pa.array([], id_type), "training": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return pa.table({"doc_id": pa.array([], id_type), "training": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64()), "bits_per_byte": pa.array([], pa.float64())})
         words = replies.column("words")
         hashes, begins = _block_words(rows.column("packed"))
         _, place = np.unique(hashes, return_inverse=True)
         total = np.concatenate([unsqueeze(b, np.int64)[0] for b in replies.filter(words).sort_by("shard").column("blob").to_pylist()])[place]
         n = np.diff(np.append(begins, len(hashes)))
         base = np.add.reduceat(np.log10(total + 0.5), begins) - n * scale
+        scored = _block_scores(rows.column("packed"), replies.filter(pc.invert(words)), shards)
         return pa.table(
             {
                 "doc_id": rows.column("doc_id"),
@@ -198,17 +233,18 @@ def scores(docs: DataFrame) -> DataFrame:
                 "n_tokens": pa.array(n, pa.int64()),
                 "n_known": pa.array(np.add.reduceat((total > 0).astype(np.int64), begins), pa.int64()),
                 "base_score": pa.array(base),
-                "score": pa.array(_block_scores(rows.column("packed"), replies.filter(pc.invert(words)), shards)),
+                "score": pa.array(scored),
+                "bits_per_byte": pa.array(-scored / math.log10(2) / (rows.column("n_bytes").to_numpy() + 1)),
             }
         )
 
     id_name = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.string() if id_name == "string" else pa.int64() if id_name == "bigint" else pa.int32()
     replies = totals.select("block", "shard", F.col("totals").alias("blob"), F.lit(True).alias("words")).union(answered.select("block", "shard", "answers", F.lit(False)))
-    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {id_name}, training boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {id_name}, training boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.withColumn("train_tokens", F.lit(tokens or 0).cast("long"))
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
     docs = lean(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text").withColumn("training", remainder("doc_id", 5) != 1)
-    return scores(docs).select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scores(docs).select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

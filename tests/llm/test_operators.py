@@ -144,13 +144,25 @@ def test_lm_subtrees_of_any_run_are_one_tree(monkeypatch):
     tree = context_tree.build([context_tree.frequent(*plain, d, 2 if d else 0) for d in range(context_tree.DEPTH + 1)])
     for piece in (1, 7, 1 << 18):
         monkeypatch.setattr(context_tree, "PIECE", piece)
-        places, one, two = (np.concatenate(x) for x in zip(*(t.sums() for t in context_tree.subtrees(keys, counts)), strict=True))
+        places, one, two = (np.concatenate(x) for x in zip(*(context_tree.subtree(*p).sums() for p in context_tree.pieces(keys, counts)), strict=True))
         place, at = np.unique(places, return_inverse=True)
-        logs = context_tree.answers(keys, counts, context_tree.top(place, np.bincount(at, one), np.bincount(at, two))).astype(float)
+        above = context_tree.top(place, np.bincount(at, one), np.bincount(at, two))
+        logs = np.concatenate([context_tree.answers(*p, above) for p in context_tree.pieces(keys, counts)]).astype(float)
         for text in asked:
             assert logs[np.searchsorted(keys, context_tree.turned_grams([text]))].sum() == pytest.approx(tree.score([text])[0], abs=0.01)
 
 
+@pytest.mark.parametrize("size", [1, 5, 6, 7, 100])
+def test_lm_grams_of_slices_are_those_of_whole_texts(size):
+    texts = [b"", b"a", b"abcdef", b"abcdefg" * 5, b"xy", b"z" * 13]
+    whole = [context_tree.turned_grams([t]) for t in texts]
+    got = [[] for _ in texts]
+    for grams, first, starts in context_tree.gram_runs(texts, size):
+        for i, part in enumerate(np.split(grams, starts[1:]), first):
+            got[i].append(part)
+    assert all((np.concatenate(g) == w).all() for g, w in zip(got, whole, strict=True))
+
+
 # 2: language ID
 
 
