@@ -35,6 +35,11 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Outside these blocks, `regex` and the library may know different versions of Unicode, so the library itself splits such texts.
 UNSURE = regex.compile("[^\\u0000-\\u052F\\u2000-\\u206F]")
 
+#: Characters of a long text that are split into words at once.
+PIECE = 1 << 20
+#: No word of the pattern goes from a character that is no blank over a blank, so before such a blank a text may be cut.
+BETWEEN_WORDS = regex.compile(r"(?<=[^\s]) (?=[^\s])")
+
 
 @lru_cache(1)
 def byte_letters() -> str:
@@ -92,6 +97,17 @@ class Codec:
         return tuple([t.id for part in parts for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))])
 
     def encode_plain(self, text: str) -> list[int]:
+        if len(text) <= PIECE:
+            return self._encode_piece(text)
+        ids, at = [], 0
+        while at < len(text):
+            cut = BETWEEN_WORDS.search(text, at + PIECE)
+            end = cut.start() if cut else len(text)
+            ids += self._encode_piece(text[at:end])
+            at = end
+        return ids
+
+    def _encode_piece(self, text: str) -> list[int]:
         if UNSURE.search(text):
             words = [text[a:b] for _, (a, b) in self.split.pre_tokenize_str(text)]
         else:
