@@ -166,10 +166,10 @@ def read_back(formatted: Column, template: Template = TEMPLATE) -> Column:
 
 
 def digests(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """The digests of the op9 contract: turns from the formatted text, loss text from the segments' mask."""
+    """The digests of the op9 contract, turns and what is trained on alike read back from the formatted text."""
     turns = F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
-    masked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
-    read = formatted.select("conv_id", "valid_order", "formatted", F.array_join(masked, "").alias("loss_text"), read_back(F.col("formatted"), template).alias("turns"))
+    masked = F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"])
+    read = formatted.select("conv_id", "valid_order", "formatted", read_back(F.col("formatted"), template).alias("turns")).withColumn("loss_text", F.array_join(masked, ""))
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
