@@ -71,8 +71,29 @@ def _counted(of: np.ndarray, gram: np.ndarray, n: np.ndarray | None = None) -> t
     return both // width, distinct[both % width], total
 
 
+def _long_text(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams and counts of one text, a slice at a time; what is between words may go over slices, and so may trigrams."""
+    decoded, carry, held = text.decode("utf-8", "replace"), np.zeros(1, np.int64), []
+    for a in range(0, len(decoded) + 1, SLICE):
+        part = decoded[a : a + SLICE] + (" " if a + SLICE > len(decoded) else "")
+        code = codes()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = code > 0
+        keep[1:] |= code[:-1] > 0
+        keep[0] |= carry[-1] > 0
+        code = np.concatenate([carry, code[keep].astype(np.int64)])
+        gram, n = np.unique(code[:-2] << 2 * BITS | code[1:-1] << BITS | code[2:], return_counts=True)
+        held.append((gram, n))
+        carry = code[-2:]
+    gram, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([n for _, n in held]), len(gram)).astype(np.int64)
+    return gram[gram > 0], n[gram > 0]
+
+
 def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, trigram and count, sorted. Runs of what is no letter count as one boundary; each text has one at both ends."""
+    if len(texts) == 1 and len(texts[0]) > SLICE:
+        gram, n = _long_text(texts[0])
+        return np.zeros(len(gram), np.int64), gram, n
     decoded = [t.decode("utf-8", "replace") for t in texts]
     lengths = np.array([len(t) + 2 for t in decoded])
     points = np.frombuffer("".join(f" {t} " for t in decoded).encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -138,3 +138,21 @@ def base_scores(docs):
         w = tokens(t)
         out[i] = (len(w), sum(c[x] > 0 for x in w), total, sum(math.log10((c[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w))
     return out
+
+
+def margin(trees, text):
+    """Log-odds of bad quality by a walk from each root, over plainly counted features."""
+    n, chars, symbols, dup, repeated = statistics(text)
+    b = raw(text)
+    lines = sum(bool(x.strip(BLANK)) for x in b.split(b"\n"))
+    some, letters, rows = max(n, 1), max(chars, 1), max(lines, 1)
+    of = lambda chosen: sum(c in chosen for c in b)
+    x = [np.log1p(n), chars / some, symbols / some, dup / rows, repeated / some, len(set(b.split())) / some]
+    x += [of(range(65, 91)) / letters, of(b"0123456789") / letters, of(b"!") / some, of(b".,") / some, n / rows]
+    total = trees.start
+    for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
+        at = 0
+        while at < len(feature):
+            at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+        total += value[at - len(feature)]
+    return total

@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import zlib
+from collections import Counter
 
 import brute
 import numpy as np
 import pytest
+import xxhash
 from brute import pairs
 from pyspark.sql import functions as F
 
@@ -173,6 +176,62 @@ def test_language_held_out_accuracy(spark, sf, duck):
     assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.97 * len(held)
 
 
+def test_language_predictions_are_the_definition(spark, sf, corpus, duck):
+    """Letters, trigrams, bundles and cosines in plain steps, for every document of the query."""
+    langs = dict(duck.execute("SELECT doc_id, lang FROM documents").fetchall())
+
+    def letters_of(text):
+        out = [0]
+        for c in text or "":
+            low = ord(c.lower()[0]) if c.isalpha() else 0
+            code = low - 96 if 97 <= low <= 122 else low
+            if code or out[-1]:
+                out.append(code)
+        return out if out[-1] == 0 else [*out, 0]
+
+    known = {}
+
+    def bound(*three):
+        if three not in known:
+            x, y, z = (language_id.vectors_of(np.array([c]))[0].astype(int) for c in three)
+            known[three] = np.roll(x, 2) * np.roll(y, 1) * z
+        return known[three]
+
+    def bundle(text):
+        c = letters_of(text)
+        total = np.zeros(language_id.DIMENSIONS, int)
+        for three, n in Counter(zip(c, c[1:], c[2:], strict=False)).items():
+            if any(three):
+                total += n * bound(*three)
+        return total
+
+    own = {i: bundle(t) for i, t in corpus}
+    profiles = {}
+    for i, v in own.items():
+        if brute.crc(i) % 3 != 1 and langs[i] is not None:
+            profiles[langs[i]] = profiles.get(langs[i], 0) + v
+    got = {r["doc_id"]: r for r in registry.queries()["op2_language_id"](spark, sf).collect()}
+    assert len(got) == len(corpus)
+    for i, text in corpus:
+        if not any(c.isalpha() for c in text or ""):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cosine = {k: float(own[i] @ p / np.linalg.norm(own[i]) / np.linalg.norm(p)) for k, p in profiles.items()}
+        best = max(cosine.values())
+        assert got[i]["score"] == pytest.approx(max(best, 0), abs=1e-4) and cosine[got[i]["lang_pred"]] == pytest.approx(best, abs=1e-4)
+
+
+def test_language_of_long_texts_is_that_of_whole_ones(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("ab é日 .\n") for _ in range(n)).encode() for n in (40, 41, 300)]
+    whole = [language_id.grams_of([t]) for t in texts]
+    for size in (1, 2, 3, 17):
+        monkeypatch.setattr(language_id, "SLICE", size)
+        for t, (_, gram, n) in zip(texts, whole, strict=True):
+            _, g, m = language_id.grams_of([t])
+            assert (g == gram).all() and (m == n).all()
+
+
 def test_language_vector_is_the_bundle_of_bound_letters():
     v = language_id.letters()
     of, gram, n = language_id.grams_of([b"Ab", b"", "é1é".encode()])
@@ -277,8 +336,6 @@ def test_line_dedup_runs_over_partition_edges(spark):
 
 
 def test_keep_bitmap_round_trip():
-    import zlib
-
     for n, gone in ((1, [0]), (9, [8]), (20, [0, 7, 8, 19]), (16, list(range(16)))):
         lines = [b"line %d" % i for i in range(n)]
         bits = np.ones(max(gone) // 8 * 8 + 8, bool)
@@ -356,9 +413,60 @@ def test_bpe_of_rare_letters_and_cuts(library):
     assert b"".join(codec.fragments("qzé日".encode())) == "qzé日".encode() and len(codec.fragments("é日".encode())) > 1
 
 
+def test_bpe_of_long_texts_is_that_of_whole_ones(library, monkeypatch):
+    codec, rng = bpe.Codec(open(bpe.default_path()).read()), random.Random(9)
+    texts = ["".join(rng.choice("ab1'sS.é \n\t") for _ in range(rng.randrange(80))) for _ in range(300)] + ["x" * 50, " " * 30, "a  b " * 9]
+    for size in (1, 4, 11):
+        monkeypatch.setattr(bpe, "PIECE", size)
+        for t in texts:
+            assert codec.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
 # 7: sharding
 
 
+def _plain_shards(docs, shards=24):
+    """The tree by plain sorting: shard of each text."""
+    dims = ["doc_id", "n_chars", "source", "lang"]
+    word = lambda c: ord(c[0]) * 256 + ord(c[-1]) if c else 0
+    units = {}
+    for i, t, lang, source, n in docs:
+        own = dict(zip(dims, (i, n, word(source), word(lang)), strict=True))
+        u = units.setdefault(t, {"weight": 0, **own})
+        u["weight"] += len(brute.raw(t)) + 8
+        u |= {d: min(u[d], own[d]) for d in dims}
+    for d in dims:
+        low, high = min(u[d] for u in units.values()), max(u[d] for u in units.values())
+        for t, u in units.items():
+            place = math.floor((float(u[d]) - float(low)) * (shard.SCALE / max(float(high) - float(low), 1e-9)))
+            u["key " + d] = min(max(place, 0), shard.SCALE) * shard.TIES + (xxhash.xxh64_intdigest(brute.raw(t), 42) & (shard.TIES - 1))
+    out = {}
+
+    def split(mine, first, n):
+        if n == 1 or not mine:
+            out.update({t: first for t in mine})
+            return
+        wide = max(dims, key=lambda d: max(units[t]["key " + d] // shard.TIES for t in mine) - min(units[t]["key " + d] // shard.TIES for t in mine))
+        mine = sorted(mine, key=lambda t: units[t]["key " + wide])
+        want, total, at = sum(units[t]["weight"] for t in mine) * (n // 2) / n, 0, 0
+        while total + units[mine[at]]["weight"] < want:
+            total += units[mine[at]]["weight"]
+            at += 1
+        at += not want - total < total + units[mine[at]]["weight"] - want
+        split(mine[:at], first, n // 2)
+        split(mine[at:], first + n // 2, n - n // 2)
+
+    split(list(units), 0, shards)
+    return out
+
+
+def test_shards_are_those_of_a_plain_tree(spark, sf, duck):
+    docs = duck.execute("SELECT doc_id, text, lang, source, n_chars FROM documents").fetchall()
+    want = _plain_shards(docs)
+    got = registry.queries()["op7_shard"](spark, sf)
+    assert tuples(got, "doc_id", "size", "text_crc32", "law", "shard") == bag((i, len(brute.raw(t)) + 8, zlib.crc32(brute.raw(t)), "bytes", want[t]) for i, t, *_ in docs)
+    assert all(r["grown_shard"] is None for r in got.collect())
+
 def test_shards(spark, sf, duck):
     rows = registry.queries()["op7_shard"](spark, sf).toPandas()
     docs = duck.execute("SELECT doc_id, text, octet_length(encode(text)) + 8 AS size FROM documents").df().merge(rows, on="doc_id", suffixes=("", "_got"))
@@ -388,6 +496,15 @@ def test_quality_statistics(spark, sf, corpus):
         assert r["base_failed"] == (n < 50 or 100 * repeated > 50 * n) and not (r["base_failed"] and r["kept"])
 
 
+def test_quality_verdicts_are_those_of_a_walk(spark, sf, corpus):
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    trees = quality.learn(docs, labels)
+    got = {r["doc_id"]: r["kept"] for r in registry.queries()["op8_quality"](spark, sf).collect()}
+    for i, t in corpus:
+        n, _, _, _, repeated = brute.statistics(t)
+        assert got[i] == (n >= 50 and 100 * repeated <= 50 * n and brute.margin(trees, t) <= 0)
+
+
 def test_quality_held_out_accuracy(spark, duck):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

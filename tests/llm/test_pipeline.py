@@ -1,7 +1,6 @@
 """The pipeline against plain versions of its stages, each on what the stage before kept."""
 
 import brute
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -40,30 +39,49 @@ def test_stages(spark, sf, duck):
     assert out.agg(F.sum("n_tokens")).first()[0] > 0
 
 
+def test_stages_of_odd_rows(spark, sf, odd_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns with the names that the operators use themselves."""
+    clash = [F.lit(k).alias(n) for k, n in enumerate(("block", "row", "packed", "_b_keep", "_n_id", "b_doc", "n_hash", "mark", "hi", "token"))]
+    given = {k: r for k, r in enumerate(odd_docs.collect())}
+    for docs in (odd_docs.select("*", *clash), no_docs.select("*", *clash), odd_docs.drop("n_chars")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name == "bpe":
+                assert out.count() == docs.count()
+                break
+            assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+            n = out.count()
+            assert n <= docs.count() and (name != "line_dedup" or n == docs.count())
+    rows = bag_of(given.values())
+    assert bag_of(corpus_pipeline.near_duplicates(spark, odd_docs, sf).where("text is null or text = ''").collect()) == [x for x in rows if x[1] in (None, "")]
+    kept = corpus_pipeline.near_duplicates(spark, odd_docs, sf).collect()
+    assert sum(r["doc_id"] == 7 for r in kept) <= 2 and {r["doc_id"] for r in kept} >= {1, 2, 3}
+    clean = corpus_pipeline.benchmark_passages(spark, odd_docs, sf).collect()
+    assert bag_of(clean) == rows  # no benchmark passage in them
+    assert {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, odd_docs, sf).collect()}.isdisjoint({1, 2, 3, 9})
+
+
+def bag_of(rows):
+    return sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+
+
+def test_stages_of_a_very_long_text(spark, sf):
+    """One text of 16 MB among others; nothing of it is left out."""
+    line = " ".join(f"word{i}" for i in range(300))
+    long = "\n".join(f"{k} {line} {k * 7}" for k in range(8000))
+    docs = spark.createDataFrame([(1, long), (2, "short text " * 3), (3, long + " more")], "doc_id long, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).orderBy("doc_id").select("doc_id").collect()] == [1, 2]
+    assert corpus_pipeline.benchmark_passages(spark, docs, sf).count() == 3
+    sizes = quality.judge(docs, quality.learn(docs, spark.createDataFrame([], "doc_id long, quality int"))).orderBy("doc_id").collect()
+    assert [r["n_words"] for r in sizes] == [8000 * 302, 6, 8000 * 302 + 1]
+
+
 def test_run_is_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "n_tokens", "ids", "decoded"] and out.count() > 0
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
-def _plain_margin(trees, text):
-    """Log-odds of bad quality by a walk from each root, over plainly counted features."""
-    n, chars, symbols, dup, repeated = brute.statistics(text)
-    b = brute.raw(text)
-    lines = sum(bool(x.strip(brute.BLANK)) for x in b.split(b"\n"))
-    some, letters, rows = max(n, 1), max(chars, 1), max(lines, 1)
-    of = lambda chosen: sum(c in chosen for c in b)
-    x = [np.log1p(n), chars / some, symbols / some, dup / rows, repeated / some, len(set(b.split())) / some]
-    x += [of(range(65, 91)) / letters, of(b"0123456789") / letters, of(b"!") / some, of(b".,") / some, n / rows]
-    total = trees.start
-    for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
-        at = 0
-        while at < len(feature):
-            at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
-        total += value[at - len(feature)]
-    return total
-
-
 def test_first_stage_keeps_what_rules_and_trees_keep(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
     trees = quality.learn(docs, labels)
@@ -72,7 +90,7 @@ def test_first_stage_keeps_what_rules_and_trees_keep(spark, sf):
         n, _, _, _, repeated = brute.statistics(r["text"])
         if n >= 50 and 2 * repeated <= n:
             pass_base.add(r["doc_id"])
-            if _plain_margin(trees, r["text"]) <= 0:
+            if brute.margin(trees, r["text"]) <= 0:
                 want.add(r["doc_id"])
     got = {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, docs, sf).collect()}
     assert got == want and want < pass_base  # the trees reject some that the rules let pass
