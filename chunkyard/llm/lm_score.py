@@ -14,6 +14,7 @@ memory at a time; what stays is its distinct keys.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import context_tree
 from .blocks import by_block, shard_bounds, shard_count, squeeze, steps, stored, texts_of, unsqueeze
-from .frames import lean, partitions, remainder, settled, table, text_bytes
+from .frames import block_count, lean, partitions, remainder, settled, table, text_bytes
 from .words import word_hashes
 
 #: Bytes of text that the tree works on at once.
@@ -41,6 +42,24 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(keys, dtype=np.uint64), counts.astype(np.int64)
 
 
+def _messages(block: pa.Table, blobs: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """block, shard, blob: about a megabyte at a time, so that a block's messages are never all in one batch."""
+    name, held, size = block.column("block")[0].as_py(), [], 0
+
+    def out() -> pa.RecordBatch:
+        shards, packed = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.int64()), pa.array(shards, pa.int32()), pa.array(packed, pa.binary())], names=["block", "shard", "blob"])
+
+    for shard, blob in blobs:
+        held.append((shard, blob))
+        size += len(blob) + 64
+        if size > 1 << 20:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
 def _shards_of(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard of a key's latest three bytes, so that a shard holds all data of the contexts below them."""
     return ((keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(shards)
@@ -60,9 +79,9 @@ def dealt_grams(texts: DataFrame, shards: int) -> DataFrame:
                         found.add(keys, counts * flag)
             keys, counts = found.total()
             shard = _shards_of(keys, shards)
-            used = np.unique(shard).tolist()
-            blobs = [_pack(keys[here], counts[here]) for s in used for here in [shard == s]]
-            yield pa.RecordBatch.from_arrays([pa.array([block.column("block")[0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "shard", "blob"])
+            order = np.argsort(shard, kind="stable")
+            bounds = [0, *(np.flatnonzero(np.diff(shard[order])) + 1).tolist(), len(order)]
+            yield from _messages(block, ((int(shard[order[a]]), _pack(keys[order[a:b]], counts[order[a:b]])) for a, b in zip(bounds, bounds[1:], strict=False)))
 
     blobs = texts.select("block", "training", "packed").mapInArrow(send, "block long, shard int, blob binary")
     return settled(blobs.repartition(max(shards, partitions(texts.sparkSession)), "shard").sortWithinPartitions("shard", "block"))
@@ -138,7 +157,7 @@ def _block_scores(packed: pa.ChunkedArray, replies: pa.Table, shards: int) -> np
             runs.append((own, place.astype(np.int32), first + i, starts))
     keys = np.unique(np.concatenate([own for own, *_ in runs]))
     logs = np.empty(len(keys))
-    logs[np.argsort(_shards_of(keys, shards), kind="stable")] = np.concatenate([unsqueeze(b, np.float32)[0] for b in replies.sort_by("shard").column("blob").to_pylist()])
+    logs[np.argsort(_shards_of(keys, shards), kind="stable")] = np.concatenate([unsqueeze(b, np.float16)[0] for b in replies.sort_by("shard").column("blob").to_pylist()])
     for own, place, first, starts in runs:
         scores[first : first + len(starts)] += np.add.reduceat(logs[np.searchsorted(keys, own)][place], starts)
     return scores
@@ -170,9 +189,7 @@ def word_totals(texts: DataFrame, shards: int) -> DataFrame:
             keys, place = np.unique(hashes, return_inverse=True)
             counts = np.bincount(place, training, len(keys))
             bounds = [0, *np.searchsorted(keys, shard_bounds(shards)).tolist(), len(keys)]
-            used = [s for s in range(shards) if bounds[s + 1] > bounds[s]]
-            blobs = [_pack(keys[bounds[s] : bounds[s + 1]], counts[bounds[s] : bounds[s + 1]]) for s in used]
-            yield pa.RecordBatch.from_arrays([pa.array([block.column("block")[0].as_py()] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], names=["block", "shard", "blob"])
+            yield from _messages(block, ((s, _pack(keys[a:b], counts[a:b])) for s, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a))
 
     def add_up(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("block")
@@ -191,7 +208,7 @@ def word_totals(texts: DataFrame, shards: int) -> DataFrame:
         )
 
     blobs = texts.select("block", "training", "packed").mapInArrow(send, "block long, shard int, blob binary")
-    return blobs.groupBy("shard").applyInArrow(add_up, "block long, shard int, totals binary, known long, tokens long")
+    return blobs.repartition(max(shards, partitions(texts.sparkSession)), "shard").groupBy("shard").applyInArrow(add_up, "block long, shard int, totals binary, known long, tokens long")
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -241,7 +258,8 @@ def scores(docs: DataFrame) -> DataFrame:
     id_name = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.string() if id_name == "string" else pa.int64() if id_name == "bigint" else pa.int32()
     replies = totals.select("block", "shard", F.col("totals").alias("blob"), F.lit(True).alias("words")).union(answered.select("block", "shard", "answers", F.lit(False)))
-    scored = texts.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, f"doc_id {id_name}, training boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    dealt = block_count(docs.sparkSession, n_bytes)
+    scored = texts.repartition(dealt, "block").groupBy("block").cogroup(replies.repartition(dealt, "block").groupBy("block")).applyInArrow(score, f"doc_id {id_name}, training boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.withColumn("train_tokens", F.lit(tokens or 0).cast("long"))
 
 
