@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import by_block, shard_bounds, shard_count, squeeze, steps, stored, texts_of, unsqueeze
-from .frames import lean, settled, table, text_bytes, unsized
+from .frames import block_count, lean, partitions, settled, table, text_bytes, unsized
 from .suffix_merge import decode_run, front_code, merge
 from .words import byte_values, mix
 
@@ -142,7 +142,7 @@ def _replies(texts: DataFrame, shards: int, most: int) -> DataFrame:
         return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "flags": pa.array([squeeze(flags[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())})
 
     blobs = texts.select("block", "packed").mapInArrow(send, "block long, shard int, blob binary")
-    return blobs.groupBy("shard").applyInArrow(answer, "block long, shard int, flags binary")
+    return blobs.repartition(max(shards, partitions(texts.sparkSession)), "shard").groupBy("shard").applyInArrow(answer, "block long, shard int, flags binary")
 
 
 def _entries(bodies: list[bytes], row: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, order: np.ndarray, first: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -160,7 +160,7 @@ def _entries(bodies: list[bytes], row: np.ndarray, anchor: np.ndarray, low: np.n
     return np.concatenate([stands, alone]), np.minimum(counts, 2).astype(np.uint8), by[same], other[same]
 
 
-def _candidates(texts: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
+def _candidates(texts: DataFrame, replies: DataFrame, shards: int, parts: int) -> DataFrame:
     """block, shard, run, places: by shard a front-coded run of records and where they are; shard -1: where equal records are; -2: records of hot keys."""
 
     def pick(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -195,7 +195,8 @@ def _candidates(texts: DataFrame, replies: DataFrame, shards: int) -> DataFrame:
             ids = [block_id] * len(out_shard)
         return pa.table({"block": pa.array(ids, pa.int64()), "shard": pa.array(out_shard, pa.int32()), "run": pa.array(out_run, pa.binary()), "places": pa.array(out_place, pa.binary())})
 
-    return texts.select("block", "row", "packed").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(pick, "block long, shard int, run binary, places binary")
+    own, answered = texts.select("block", "row", "packed").repartition(parts, "block"), replies.repartition(parts, "block")
+    return own.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(pick, "block long, shard int, run binary, places binary")
 
 
 def repeats(lcp: np.ndarray, right: np.ndarray, left: np.ndarray, n_left: np.ndarray, mult: np.ndarray) -> np.ndarray:
@@ -354,11 +355,12 @@ def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
     result.
     """
     given = lean(docs, doc_id="doc_id", text="text")
-    shards = shard_count(text_bytes(given))
+    n_bytes = text_bytes(given)
+    shards, parts = shard_count(n_bytes), block_count(docs.sparkSession, n_bytes)
     texts = stored(given)
     replies = settled(_replies(texts, shards, most))
-    picked = settled(_candidates(texts, replies, shards))
-    merged = picked.where("shard >= 0").select("block", "shard", "run", "places").groupBy("shard").applyInArrow(_merged, "block long, places binary")
+    picked = settled(_candidates(texts, replies, shards, parts))
+    merged = picked.where("shard >= 0").select("block", "shard", "run", "places").repartition(max(shards, partitions(docs.sparkSession)), "shard").groupBy("shard").applyInArrow(_merged, "block long, places binary")
     hot = hot_spans(_hot_records(picked))
     spans = picked.where("shard = -1").select("block", "places", F.lit(True).alias("equals")).unionByName(merged.unionByName(_packed_spans(hot)).withColumn("equals", F.lit(False)))
     id_name = given.schema["doc_id"].dataType.simpleString()
@@ -383,7 +385,7 @@ def repeated_spans(docs: DataFrame, most: int = MOST) -> DataFrame:
                 kept.append(text if not len(s) else b"".join(text[x:y] for x, y in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True)))
         return _cut_table(block.column("doc_id"), sizes, starts, ends, kept)
 
-    return texts.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(cut, f"doc_id {id_name}, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    return texts.repartition(parts, "block").groupBy("block").cogroup(spans.repartition(parts, "block").groupBy("block")).applyInArrow(cut, f"doc_id {id_name}, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def _cut_table(doc_id, sizes, starts, ends, kept) -> pa.Table:
