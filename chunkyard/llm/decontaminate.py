@@ -38,6 +38,8 @@ SHINGLE = 3
 #: Bits of the filter for each token, and how many bits (a power of two) it has at least and at most: 32 MB.
 BITS_A_TOKEN = 256
 LEAST_BITS, MOST_BITS = 16, 28
+#: Marks of texts, of 8 bytes each, that are broadcast at most.
+SENT_WHOLE = 1 << 17
 #: Rows, and distinct tokens, that wait in a task at most.
 WAITING = 1 << 16
 
@@ -242,6 +244,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Da
     _, places, _ = occurring(given, items, width)
     mark = free("mark", *docs.columns)
     gone = settled(places.select(F.col("mark").alias(mark)).distinct())
+    if gone.count() <= SENT_WHOLE:  # else both sides are dealt by the mark
+        gone = F.broadcast(gone)
     return docs.join(gone, F.xxhash64(docs["text"]) == gone[mark], "left_anti")
 
 

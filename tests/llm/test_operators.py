@@ -362,6 +362,7 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs, bits, monkeypatch):
     monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
     got = _contaminated(decontaminate.contamination(odd_docs, _items(spark)))
     assert got == bag(brute.decontaminate(pairs(odd_docs), [(r["item_id"], r["text"]) for r in _items(spark).collect()]))
+    monkeypatch.setattr(decontaminate, "SENT_WHOLE", bits - 3)
     clean = decontaminate.clean_documents(odd_docs.withColumn("mark", F.lit(1)), _items(spark))
     assert clean.columns == [*odd_docs.columns, "mark"] and clean.count() == sum(not r[-1] for r in got)
     assert decontaminate.contamination(no_docs, _items(spark)).count() == 0
