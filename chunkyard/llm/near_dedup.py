@@ -244,7 +244,8 @@ def _links(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 def star_links(ties: DataFrame, sources: DataFrame, texts: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
     """The ties (a, b) that hold on full sets. b's text is read once for each STAR of its ties."""
-    degree = ties.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("chunks"))
+    # Stored, so that the join is not dealt by b as the counts are, and a class with very many ties can be split.
+    degree = settled(ties.groupBy("b").agg(F.ceil(F.count("*") / STAR).cast("int").alias("chunks")))
     members = ties.join(degree, "b").select("b", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int").alias("chunk"), F.col("a").alias("node"), F.lit(1).alias("side"))
     centres = members.select("b", "chunk").distinct().select("b", "chunk", F.col("b").alias("node"), F.lit(0).alias("side"))
     wanted = members.unionByName(centres).join(sources, "node")
@@ -330,7 +331,7 @@ def _components(texts: DataFrame, n_bytes: int, words: int, percent: int) -> Dat
     classes = settled(classes)
     sources = classes.select(F.col("class_key").alias("node"), "source.block", "source.row")
     ties = settled(candidate_ties(classes, percent, parts))
-    least = ties.groupBy("a").agg(F.min("b").alias("b"))
+    least = settled(ties.groupBy("a").agg(F.min("b").alias("b")))
     now = settled(components(settled(star_links(least, sources, texts, words, percent, parts))))
     part_of = lambda frame, name, to: frame.join(now.select(F.col("node").alias(name), F.col("root").alias(to)), name, "left").withColumn(to, F.coalesce(to, name))
     between = settled(part_of(part_of(ties, "a", "x"), "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
